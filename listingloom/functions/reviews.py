@@ -4,7 +4,7 @@ import ast
 import warnings
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from listingloom import fixed
 from listingloom.functions.text import fix_text, truncate
@@ -25,7 +25,7 @@ def _pair_texts(cell: str | None) -> list[str]:
     return [text.encode("utf-8", "replace").decode("utf-8") for text in texts]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _literal_texts(cells: pd.Series) -> pd.Series:
     return cells.map(_pair_texts)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from listingloom import fixed
 
@@ -43,7 +43,7 @@ class HashedTokens:
 def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int = fixed.EMBED_BATCH) -> Column:
     """Unit-length vectors of text. The encoder is set up once per task and fed fixed batches."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for texts in batches:
