@@ -9,7 +9,7 @@ from listingloom.functions.vectors import HashedTokens
 from listingloom.operators.entities import clean
 from listingloom.plans.ingest import ingest
 from listingloom.plans.retrieve import Catalogue
-from listingloom.sources.shared import shared_dir
+from listingloom.sources.shared import shared_dir, spread
 
 ENCODER = HashedTokens(64)
 
@@ -96,6 +96,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
 

@@ -50,14 +50,14 @@ def parse_fields(spark, sf):
 @query
 def clean_text(spark, sf):
     text = fix_text(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
+    return inputs.documents(spark, sf).select("doc_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
 
 
 @query
 def repair_text(spark, sf):
     """Documents misread as Latin-1, and repaired."""
     misread = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    rows = table(spark, sf, "documents").select("doc_id", misread.alias("misread"))
+    rows = inputs.documents(spark, sf).select("doc_id", misread.alias("misread"))
     return rows.select("doc_id", F.md5(fix_text(F.col("misread"))).alias("digest"))
 
 
@@ -89,7 +89,7 @@ def best_listing(spark, sf):
 @query
 def best_document(spark, sf):
     """Copies of a text as listings of one entity: the longest, lowest URL wins."""
-    copies = table(spark, sf, "documents").select(
+    copies = inputs.documents(spark, sf).select(
         F.md5("text").alias("name"), "lang", F.col("lang").alias("address"), F.col("n_chars").cast("string").alias("votes"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url"), F.col("source").alias("category"), F.lit("").alias("reviews"),
     )
@@ -146,25 +146,26 @@ def entities_csv(spark, sf):
 # --- Reviews and chunks ------------------------------------------------------------------------
 
 def _lines(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", clean_reviews(F.split("text", "\n")).alias("lines"))
+    return inputs.documents(spark, sf).select("doc_id", clean_reviews(F.split("text", "\n")).alias("lines"))
 
 
 @query
 def literal_reviews(spark, sf):
-    cells = table(spark, sf, "documents").select("doc_id", inputs.literal(F.col("text")).alias("cell"))
-    rows = cells.select("doc_id", F.posexplode(parse_reviews(F.col("cell"))).alias("position", "review"))
-    return rows.select("doc_id", "position", F.md5("review").alias("digest"))
+    cells = inputs.documents(spark, sf).select("doc_id", inputs.literal(F.col("text")).alias("cell"))
+    rows = cells.select("doc_id", F.posexplode_outer(parse_reviews(F.col("cell"))).alias("position", "review"))
+    return rows.where("position is not null").select("doc_id", "position", F.md5("review").alias("digest"))
 
 
 @query
 def review_excerpts(spark, sf):
-    return _lines(spark, sf).select("doc_id", F.posexplode(excerpts(F.col("lines"))).alias("position", "excerpt"))
+    rows = _lines(spark, sf).select("doc_id", F.posexplode_outer(excerpts(F.col("lines"))).alias("position", "excerpt"))
+    return rows.where("position is not null")
 
 
 @query
 def packed_lines(spark, sf):
-    rows = _lines(spark, sf).select("doc_id", F.posexplode(pack(F.col("lines"))).alias("position", "body"))
-    return rows.select("doc_id", "position", F.length("body").alias("chars"), F.md5("body").alias("digest"))
+    rows = _lines(spark, sf).select("doc_id", F.posexplode_outer(pack(F.col("lines"))).alias("position", "body"))
+    return rows.where("position is not null").select("doc_id", "position", F.length("body").alias("chars"), F.md5("body").alias("digest"))
 
 
 @query
@@ -180,15 +181,15 @@ def metadata_records(spark, sf):
 
 @query
 def hashed_embed(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", embed(F.col("text"), ENCODER).alias("vector"))
-    values = rows.select("doc_id", F.posexplode("vector").alias("slot", "weight"))
+    rows = inputs.documents(spark, sf).select("doc_id", embed(F.col("text"), ENCODER).alias("vector"))
+    values = rows.select("doc_id", F.posexplode_outer("vector").alias("slot", "weight"))
     return values.select("doc_id", "slot", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 @query
 def l2_normalised(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
-    return rows.select("vec_id", F.posexplode("v").alias("slot", "value")).withColumn("value", F.round("value", 6))
+    return rows.select("vec_id", F.posexplode_outer("v").alias("slot", "value")).withColumn("value", F.round("value", 6))
 
 
 # --- Questions to filters ----------------------------------------------------------------------
@@ -215,7 +216,7 @@ def question_scalars(spark, sf):
 @query
 def document_scalars(spark, sf):
     """The same rules over long texts: each document is read as a question."""
-    return _scalars(table(spark, sf, "documents"), "doc_id")
+    return _scalars(inputs.documents(spark, sf), "doc_id")
 
 
 def _vocabulary(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +241,7 @@ def question_areas(spark, sf):
 @query
 def document_words(spark, sf):
     """Every name of a document source or language that a document's text mentions."""
-    documents = table(spark, sf, "documents")
+    documents = inputs.documents(spark, sf)
     names = documents.select(F.explode(F.array("lang", "source")).alias("value")).distinct()
     areas = names.where("false")
     rows = documents.select(F.col("doc_id").alias("question_id"), "text")

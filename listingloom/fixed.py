@@ -42,6 +42,7 @@ MIN_BASE_CHARS = 3
 # --- Fixed values: characters -----------------------------------------------------------------
 # The 29 code points that Unicode-aware regular expressions treat as white space.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_NOT_BLANK = SPACE.replace(r"\x{20}", r"\x{1f}")
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 
@@ -55,7 +56,8 @@ PURE_VEG = r"pure(?:-|SPACE)*veg(?:etarian)?"
 NON_VEG = r"non(?:-|SPACE)*veg"
 
 # --- Fixed values: words in questions ---------------------------------------------------------
-PRICE_NUMBER = r"(?:rs\.?|inr|₹)?SPACE*([0-9][0-9,]*)"
+DIGITS = r"([0-9][0-9,]*)"
+PRICE_NUMBER = r"(?:rs\.?|inr|₹)?SPACE*" + DIGITS
 PRICE_BEFORE = [
     "under", "below", "less than", "within", "upto", "up to", "max", "maximum", "cheaper than", "at most",
 ]
@@ -72,6 +74,13 @@ QUESTION_VEG = r"(?:pure(?:-|SPACE)*)?veg(?:etarian|gie)?"
 DELIVERY_WORDS = r"deliver(?:y|s)?|order online|online order(?:ing)?|home delivery"
 BOOKING_WORDS = r"book(?:ing)? a table|table booking|reserv(?:e|ation)|book table"
 
+# Every match of the words above begins with one of these; a rating merely contains one.
+CHEAP_FRAGMENTS = ["cheap", "budget", "affordable", "inexpensive", "pocket", "low"]
+RATING_FRAGMENTS = ["rat", "star"]
+HIGH_RATING_FRAGMENTS = ["high", "top", "best", "well", "good"]
+DELIVERY_FRAGMENTS = ["deliver", "order online", "online order", "home delivery"]
+BOOKING_FRAGMENTS = ["book", "table booking", "reserv"]
+
 # --- Fixed values: rendered text --------------------------------------------------------------
 CITY_NAME = "Bangalore"
 DEFAULT_KIND = "Restaurant"
@@ -100,6 +109,11 @@ def pattern(text: str) -> str:
     return text.replace("SPACE", SPACE)
 
 
-def whole_words(text: str) -> str:
+def starting(text: str, initials: str) -> str:
+    """The pattern after the start of a word. The initials rule out most positions at little cost."""
+    return f"(?=[{initials}]){WORD_START}(?:{pattern(text)})"
+
+
+def whole_words(text: str, initials: str) -> str:
     """The pattern, with no letter, digit or underscore directly before or after it."""
-    return f"{WORD_START}(?:{pattern(text)}){WORD_END}"
+    return starting(text, initials) + WORD_END

@@ -1,55 +1,81 @@
-"""Column functions that read filters out of a question. All take lower-cased text."""
+"""Column functions that read filters out of a question. All take lower-cased text.
+
+Each pattern is tried only on text that holds one of the fragments it cannot match without. A
+fragment test is a plain byte search, far cheaper than a regular expression on long text.
+"""
 
 from pyspark.sql import Column, functions as F
 
 from listingloom import fixed
 
-PRICE_PATTERNS = [
-    fixed.WORD_START + f"(?:{'|'.join(fixed.PRICE_BEFORE)})" + fixed.pattern("SPACE*" + fixed.PRICE_NUMBER),
-    fixed.WORD_START + fixed.pattern(fixed.PRICE_BUDGET + "SPACE*" + fixed.PRICE_NUMBER),
-    fixed.pattern(fixed.PRICE_NUMBER + "SPACE*") + f"(?:{'|'.join(fixed.PRICE_AFTER)})" + fixed.WORD_END,
-]
+PRICE_PATTERNS = {
+    fixed.starting(f"(?:{'|'.join(fixed.PRICE_BEFORE)})SPACE*" + fixed.PRICE_NUMBER, "ublwmca"): fixed.PRICE_BEFORE,
+    fixed.starting(fixed.PRICE_BUDGET + "SPACE*" + fixed.PRICE_NUMBER, "b"): ["budget"],
+    # What may lead the number is optional, so here the pattern can begin at the digits.
+    fixed.pattern(f"{fixed.DIGITS}SPACE*(?:{'|'.join(fixed.PRICE_AFTER)})") + fixed.WORD_END: fixed.PRICE_AFTER,
+}
 RATING_PATTERN = (
-    fixed.WORD_START + fixed.pattern(fixed.RATING_WORD_FIRST)
-    + "|" + fixed.WORD_START + fixed.pattern(fixed.RATING_NUMBER_FIRST) + fixed.WORD_END
+    fixed.starting(fixed.RATING_WORD_FIRST, "rs") + "|" + fixed.whole_words(fixed.RATING_NUMBER_FIRST, "0-9")
 )
 
 
-def _amount(question: Column, regex: str) -> Column:
-    """The amount at the pattern's first match; null when there is none or it is too small."""
-    digits = F.regexp_replace(F.regexp_extract(question, regex, 1), ",|^[0,]+", "")
+def _mentions(text: Column, fragments: list[str]) -> Column:
+    return F.greatest(*(F.contains(text, F.lit(fragment)) for fragment in [*fragments, *fragments[:1]]))
+
+
+def _matches(text: Column, words: str, fragments: list[str]) -> Column:
+    initials = "".join(sorted({fragment[0] for fragment in fragments}))
+    return _mentions(text, fragments) & text.rlike(fixed.whole_words(words, initials))
+
+
+def _first_where(value: Column, accept) -> Column:
+    """The value if accepted, else null, without computing it twice."""
+    return F.get(F.filter(F.array(value), accept), F.lit(0))
+
+
+def _amount(digits: Column) -> Column:
     # No price has more than 18 digits, so a longer cap works like this one.
-    amount = F.when(F.length(digits) > 18, F.lit(10**18)).otherwise(F.nullif(digits, F.lit("")).try_cast("bigint"))
-    return F.when(amount >= fixed.MIN_PRICE_MENTION, amount)
+    bare = F.regexp_replace(digits, ",|^[0,]+", "")
+    return F.when(F.length(bare) > 18, F.lit(10**18)).otherwise(F.nullif(bare, F.lit("")).try_cast("bigint"))
 
 
 def max_price(question: Column) -> Column:
-    cheap = F.when(question.rlike(fixed.whole_words(fixed.CHEAP_WORDS)), F.lit(fixed.CHEAP_PRICE).cast("bigint"))
-    return F.coalesce(*(_amount(question, regex) for regex in PRICE_PATTERNS), cheap)
+    """The amount of the first pattern whose leftmost match is a plausible price, else the cheap default."""
+    digits = [
+        F.when(_mentions(question, fragments), F.regexp_extract(question, regex, 1))
+        for regex, fragments in PRICE_PATTERNS.items()
+    ]
+    amounts = F.filter(F.transform(F.array(*digits), _amount), lambda amount: amount >= fixed.MIN_PRICE_MENTION)
+    cheap = F.when(
+        _matches(question, fixed.CHEAP_WORDS, fixed.CHEAP_FRAGMENTS), F.lit(fixed.CHEAP_PRICE).cast("bigint")
+    )
+    return F.coalesce(F.get(amounts, F.lit(0)), cheap)
 
 
 def sort_by_rating(question: Column) -> Column:
-    return question.rlike(fixed.whole_words(fixed.HIGH_RATING_WORDS))
+    return _matches(question, fixed.HIGH_RATING_WORDS, fixed.HIGH_RATING_FRAGMENTS)
 
 
 def min_rating(question: Column) -> Column:
-    groups = [F.nullif(F.regexp_extract(question, RATING_PATTERN, i), F.lit("")) for i in (1, 2)]
-    value = F.coalesce(*groups).try_cast("double")
-    named = F.when((value > 0) & (value <= 5), value)
+    # Neither alternative has a digit before its number, so the number is the first one in the match.
+    match = F.when(_mentions(question, fixed.RATING_FRAGMENTS), F.regexp_extract(question, RATING_PATTERN, 0))
+    value = F.nullif(F.regexp_extract(match, r"[0-9](?:\.[0-9])?", 0), F.lit("")).try_cast("double")
+    named = _first_where(value, lambda v: (v > 0) & (v <= 5))
     return F.coalesce(named, F.when(sort_by_rating(question), F.lit(fixed.HIGH_RATING)))
 
 
 def pure_veg(question: Column) -> Column:
-    negated = question.rlike(fixed.WORD_START + fixed.pattern(fixed.NON_VEG))
-    return question.rlike(fixed.whole_words(fixed.QUESTION_VEG)) & ~negated
+    negated = F.contains(question, F.lit("non")) & question.rlike(fixed.starting(fixed.NON_VEG, "n"))
+    asked = F.contains(question, F.lit("veg")) & question.rlike(fixed.whole_words(fixed.QUESTION_VEG, "pv"))
+    return asked & ~negated
 
 
 def online_order(question: Column) -> Column:
-    return question.rlike(fixed.whole_words(fixed.DELIVERY_WORDS))
+    return _matches(question, fixed.DELIVERY_WORDS, fixed.DELIVERY_FRAGMENTS)
 
 
 def book_table(question: Column) -> Column:
-    return question.rlike(fixed.whole_words(fixed.BOOKING_WORDS))
+    return _matches(question, fixed.BOOKING_WORDS, fixed.BOOKING_FRAGMENTS)
 
 
 def has_phrase(question: Column, phrase: Column) -> Column:

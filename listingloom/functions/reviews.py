@@ -44,21 +44,22 @@ def clean_reviews(texts: Column) -> Column:
 
 
 def on_topic(text: Column) -> Column:
-    return text.rlike("(?iu)" + fixed.whole_words("|".join(fixed.REVIEW_TOPICS)))
+    return text.rlike("(?iu)" + fixed.whole_words("|".join(fixed.REVIEW_TOPICS), "fkcvbapsgdr"))
 
 
 def excerpts(reviews: Column, limit: int = fixed.MAX_REVIEWS, max_chars: int = fixed.MAX_REVIEW_CHARS) -> Column:
     """The first reviews, those on a common topic before the others, each cut to a short excerpt."""
-    ranked = F.concat(F.filter(reviews, on_topic), F.filter(reviews, lambda text: ~on_topic(text)))
-    return F.transform(F.slice(ranked, 1, limit), lambda text: truncate(text, max_chars))
+    placed = F.transform(
+        reviews, lambda text, i: F.struct((~on_topic(text)).alias("later"), i.alias("place"), text.alias("text"))
+    )
+    return F.transform(F.slice(F.array_sort(placed), 1, limit), lambda item: truncate(item["text"], max_chars))
 
 
 def is_pure_veg(name: Column, reviews: Column) -> Column:
     """Whether the name says vegetarian without negating it, or a review says purely vegetarian."""
-    by_name = name.rlike("(?iu)" + fixed.whole_words(fixed.VEG)) & ~name.rlike(
-        "(?iu)" + fixed.WORD_START + fixed.pattern(fixed.NON_VEG)
-    )
-    strict = "(?iu)" + fixed.whole_words(fixed.PURE_VEG)
+    negated = name.rlike("(?iu)" + fixed.starting(fixed.NON_VEG, "n"))
+    by_name = name.rlike("(?iu)" + fixed.whole_words(fixed.VEG, "v")) & ~negated
+    strict = "(?iu)" + fixed.whole_words(fixed.PURE_VEG, "p")
     return by_name | F.exists(reviews, lambda text: text.rlike(strict))
 
 

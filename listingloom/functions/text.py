@@ -7,7 +7,10 @@ from listingloom import fixed
 
 def collapse_space(text: Column) -> Column:
     """Turn every run of white space into one blank and trim the ends."""
-    return F.trim(F.regexp_replace(text, f"{fixed.SPACE}+", " "))
+    # Single blanks, nearly all of the white space, are not matched and so not rewritten. The
+    # look-ahead passes over printable ASCII before the long class is tried.
+    run = f"(?![!-~])(?:{fixed.SPACE_NOT_BLANK}{fixed.SPACE}*| {fixed.SPACE}+)"
+    return F.trim(F.regexp_replace(text, run, " "))
 
 
 def repair_encoding(text: Column) -> Column:

@@ -34,7 +34,8 @@ class HashedTokens:
         def encode(texts: list[str]) -> np.ndarray:
             vectors = np.zeros((len(texts), self.dims))
             for vector, text in zip(vectors, texts):
-                np.add.at(vector, [slot(word) for word in words.findall(text)], 1.0)
+                found = words.findall(text)
+                vector += np.bincount(np.fromiter(map(slot, found), np.int64, len(found)), minlength=self.dims)
             return vectors
 
         return encode

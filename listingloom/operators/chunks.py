@@ -15,7 +15,11 @@ METADATA_COLUMNS = [
 
 
 def build_chunks(entities: DataFrame, max_chars: int = fixed.CHUNK_CHARS) -> DataFrame:
-    """One profile chunk and any number of review chunks per entity, in one pass without a shuffle."""
+    """One profile chunk and any number of review chunks per entity, in one pass without a shuffle.
+
+    explode_outer, here and elsewhere, because explode has Spark compute the array twice: once
+    more for a filter on its size.
+    """
     profile = F.struct(
         F.concat("entity_id", F.lit("-profile")).alias("chunk_id"),
         F.lit("profile").alias("chunk_type"),
@@ -29,7 +33,7 @@ def build_chunks(entities: DataFrame, max_chars: int = fixed.CHUNK_CHARS) -> Dat
             review_text(body).alias("text"),
         ),
     )
-    chunks = entities.select(*METADATA_COLUMNS, F.explode(F.concat(F.array(profile), reviews)).alias("chunk"))
+    chunks = entities.select(*METADATA_COLUMNS, F.explode_outer(F.concat(F.array(profile), reviews)).alias("chunk"))
     return chunks.select("chunk.chunk_id", "chunk.chunk_type", "chunk.text", *METADATA_COLUMNS)
 
 
