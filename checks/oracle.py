@@ -288,8 +288,10 @@ def with_ctes(sql: str) -> str:
         if name not in needed:
             needed.add(name)
             queue += _uses(CTES[name])
+    if not needed:
+        return sql
     parts = ", ".join(f"{name} as materialized ({CTES[name]})" for name in CTES if name in needed)
-    return f"with {parts} {sql}" if parts else sql
+    return f"with {parts} {sql}"
 
 
 def piped(column: str) -> str:
@@ -373,6 +375,29 @@ SQL = {
           select q.vec_id as question_id, c.vec_id as chunk_id,
             round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as similarity
           from embeddings q cross join embeddings c)) where position <= 5""",
+    "lsh_topk": """
+      with side as (
+        select vec_id, b, round(list_sum(list_transform(embedding, lambda x, i: cast(x as double)
+          * case when (b * 64 + i) * 2654435761 % 4294967296 >= 2147483648 then 1 else -1 end)), 6) >= 0 as up
+        from embeddings cross join (select unnest(range(4)) as b)),
+      celled as (
+        select vec_id, any_value(embedding) as embedding, cast(sum(case when up then 1 << b else 0 end) as integer) as cell
+        from side join embeddings using (vec_id) group by vec_id)
+      select question_id, chunk_id, similarity, cast(position as integer) as position from (
+        select *, row_number() over (partition by question_id order by similarity desc, chunk_id) as position from (
+          select q.vec_id as question_id, c.vec_id as chunk_id,
+            round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as similarity
+          from celled q join celled c on bit_count(xor(q.cell, c.cell)) <= 1)) where position <= 5""",
+    "phrase_tokens": r"""
+      select kind, value, phrase, arg_min(token, {'n': n, 'size': -length(token), 'token': token}) as token from (
+        select *, count(*) over (partition by token) as n from (
+          select kind, value, phrase, unnest(list_distinct(regexp_extract_all(phrase, '[a-z0-9]+|[^a-z0-9 ]'))) as token
+          from (
+            select 'tag' as kind, value, lower(value) as phrase from tag
+            union all select 'tag', value, lower(value) || 's' from tag
+            union all select 'area', value, lower(value) from area
+            union all select 'base', value, lower(base) from area_base where length(base) >= 3)))
+      group by kind, value, phrase""",
     "filtered_topk": "select question_id, cast(position as integer) as position, chunk_id, similarity from hit",
     "grouped_hits": "select question_id, entity_id, cast(first_position as integer) as first_position, similarity, hits from grouped",
     "ranked_entities": "select question_id, cast(rank as integer) as rank, entity_id, similarity from ranked",

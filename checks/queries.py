@@ -14,12 +14,13 @@ from listingloom.operators import answers, filters
 from listingloom.operators.chunks import build_chunks, metadata
 from listingloom.operators.entities import best_listings, clean
 from listingloom.operators.filters import Filters, to_predicate
+from listingloom.operators.cells import approximate_top_hits, build_cell_table
 from listingloom.operators.nearest import top_hits
 from listingloom.operators.search import group_hits, rank_entities
-from listingloom.operators.vocabulary import area_vocabulary, tag_vocabulary
+from listingloom.operators.vocabulary import area_vocabulary, phrases, tag_vocabulary, vocabulary
 from listingloom.sources.listings import read_listings
 from listingloom.sources.shared import shared_dir
-from listingloom.sources.tables import export_entities_csv, load_entities_csv, values_of
+from listingloom.sources.tables import export_entities_csv, load_entities_csv
 
 QUERIES = {}
 
@@ -203,9 +204,9 @@ def filter_single(spark, sf):
 
 
 def _scalars(rows: DataFrame, key: str) -> DataFrame:
-    text = F.lower("text")
+    text = F.col("lowered")
     names = ["max_price", "min_rating", "sort_by_rating", "pure_veg", "online_order", "book_table"]
-    return rows.select(key, *(getattr(q, name)(text).alias(name) for name in names))
+    return rows.withColumn("lowered", F.lower("text")).select(key, *(getattr(q, name)(text).alias(name) for name in names))
 
 
 @query
@@ -219,13 +220,8 @@ def document_scalars(spark, sf):
     return _scalars(inputs.documents(spark, sf), "doc_id")
 
 
-def _vocabulary(spark, sf) -> tuple[DataFrame, DataFrame]:
-    pairs = inputs.catalogue(spark, sf).vocabulary
-    return values_of(pairs, "tag"), values_of(pairs, "area")
-
-
 def _matched(spark, sf) -> DataFrame:
-    return filters.match_phrases(inputs.questions(spark, sf), *_vocabulary(spark, sf))
+    return filters.match_phrases(inputs.questions(spark, sf), inputs.catalogue(spark, sf).phrases)
 
 
 @query
@@ -242,10 +238,9 @@ def question_areas(spark, sf):
 def document_words(spark, sf):
     """Every name of a document source or language that a document's text mentions."""
     documents = inputs.documents(spark, sf)
-    names = documents.select(F.explode(F.array("lang", "source")).alias("value")).distinct()
-    areas = names.where("false")
+    names = documents.select(F.lit("tag").alias("kind"), F.explode(F.array("lang", "source")).alias("value")).distinct()
     rows = documents.select(F.col("doc_id").alias("question_id"), "text")
-    return filters.match_phrases(rows, names, areas).select("question_id", piped("tags"))
+    return filters.match_phrases(rows, phrases(names)).select("question_id", piped("tags"))
 
 
 def _filters(rows: DataFrame) -> DataFrame:
@@ -254,7 +249,7 @@ def _filters(rows: DataFrame) -> DataFrame:
 
 
 def _parsed(spark, sf) -> DataFrame:
-    return filters.parse_questions(inputs.questions(spark, sf), *_vocabulary(spark, sf))
+    return filters.parse_questions(inputs.questions(spark, sf), inputs.catalogue(spark, sf).phrases)
 
 
 @query
@@ -352,6 +347,21 @@ def list_answers(spark, sf):
     return answers.list_answers(*_results(spark, sf))
 
 
+@query
+def lsh_topk(spark, sf):
+    """The five nearest vectors of every vector among those in the same or a neighbouring cell."""
+    rows = table(spark, sf, "embeddings").withColumnsRenamed({"vec_id": "chunk_id"})
+    cells = build_cell_table(rows, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", 64, bits=4)
+    asked = rows.select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"), F.lit(5).alias("pool"))
+    return approximate_top_hits(asked, cells, 64, bits=4, radius=1)
+
+
+@query
+def phrase_tokens(spark, sf):
+    """The phrases of all tags and areas, and how many phrases share each one's token."""
+    return phrases(vocabulary(inputs.entities(spark, sf))).select("kind", "value", "phrase", "token")
+
+
 @query
 def ingest_counts(spark, sf):
     counts = inputs.ingested(spark, sf)[1]

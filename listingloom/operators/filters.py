@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listingloom import fixed
 from listingloom.functions import question as q
-from listingloom.functions.text import base_area, collapse_space
+from listingloom.functions.text import collapse_space
+from listingloom.operators.vocabulary import tokens
 
 LISTS = ["tags", "areas"]
 SCALARS = ["max_price", "min_rating"]
 FLAGS = ["pure_veg", "online_order", "book_table"]
-TOKEN = r"[a-z0-9]+|[^a-z0-9 ]"
 
 
 @dataclass
@@ -47,38 +47,23 @@ def to_predicate(filters: Filters) -> Column | None:
     return reduce(Column.__and__, conditions) if conditions else None
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
-
-
-def _phrases(tags: DataFrame, areas: DataFrame) -> DataFrame:
-    """Every phrase to look for, what it stands for, and its longest token as the join key."""
-    tag = tags.select(
-        F.lit("tag").alias("kind"), "value",
-        F.explode(F.array(F.lower("value"), F.concat(F.lower("value"), F.lit("s")))).alias("phrase"),
-    )
-    area = areas.select(F.lit("area").alias("kind"), "value", F.lower("value").alias("phrase"))
-    base = areas.select(F.lit("base").alias("kind"), "value", F.lower(base_area(F.col("value"))).alias("phrase"))
-    base = base.where(F.length("phrase") >= fixed.MIN_BASE_CHARS)
-    sized = F.transform(_tokens(F.col("phrase")), lambda t: F.struct(F.length(t).alias("size"), t.alias("token")))
-    return tag.unionByName(area).unionByName(base).withColumn("token", F.array_max(sized)["token"])
-
-
-def match_phrases(questions: DataFrame, tags: DataFrame, areas: DataFrame) -> DataFrame:
+def match_phrases(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """Questions with the tags they name, and the areas they name exactly or by their base name.
 
-    A phrase can only occur where its longest token is a token of the question. An equi-join on
-    that token finds the candidates, so questions never meet the whole vocabulary; the exact test
-    then runs on the few that remain. Only (id, token) pairs take part in the join, not the text.
+    A phrase can only occur where its token is a token of the question. An equi-join on the token
+    finds the candidates, so questions never meet the whole vocabulary; the exact test then runs on
+    the few that remain. Only (id, token) pairs take part in the join, not the text.
     """
-    lowered = F.lower("text")
-    tokens = questions.select("question_id", F.explode(F.array_distinct(_tokens(lowered))).alias("token"))
+    words = questions.select("question_id", F.explode_outer(tokens(F.lower("text"))).alias("token"))
     candidates = (
-        tokens.join(_phrases(tags, areas), "token")
+        words.join(phrases, "token")
         .groupBy("question_id")
         .agg(F.collect_set(F.struct("kind", "value", "phrase")).alias("candidates"))
     )
-    found = F.filter("candidates", lambda c: q.has_phrase(lowered, c["phrase"]))
+    # The one-element array has the text lowered once, not once per candidate.
+    found = F.transform(
+        F.array(F.lower("text")), lambda text: F.filter("candidates", lambda c: q.has_phrase(text, c["phrase"]))
+    )[0]
 
     def values(kind: str) -> Column:
         return F.array_distinct(F.transform(F.filter("found", lambda c: c["kind"] == kind), lambda c: c["value"]))
@@ -93,19 +78,19 @@ def match_phrases(questions: DataFrame, tags: DataFrame, areas: DataFrame) -> Da
     }).drop("candidates", "found", "tag", "area", "base")
 
 
-def parse_questions(questions: DataFrame, tags: DataFrame, areas: DataFrame) -> DataFrame:
+def parse_questions(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """Questions (question_id, text, ...) with one column per filter.
 
     Blank questions get an error text and match nothing.
     """
-    lowered = F.lower("text")
+    lowered = F.col("lowered")  # a column of its own, so that one pass lowers it for all patterns
     blank = F.coalesce(collapse_space(F.col("text")), F.lit("")) == ""
-    return match_phrases(questions, tags, areas).withColumns({
+    return match_phrases(questions, phrases).withColumn("lowered", F.lower("text")).withColumns({
         "max_price": q.max_price(lowered),
         "min_rating": q.min_rating(lowered),
         **{name: F.coalesce(getattr(q, name)(lowered), F.lit(False)) for name in (*FLAGS, "sort_by_rating")},
         "error": F.when(blank, fixed.BLANK_QUESTION),
-    })
+    }).drop("lowered")
 
 
 def merge_overrides(parsed: DataFrame, overrides: DataFrame) -> DataFrame:
