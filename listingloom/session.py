@@ -1,7 +1,6 @@
 """A local session for tests and benchmarks; on a cluster the submitter sets these."""
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +19,4 @@ def local_session(cpus: str | int = "*", **settings: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="listingloom-"))
     return spark

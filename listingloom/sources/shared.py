@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that all executors share."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, or the one set on the context."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+        if not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+        # One machine, as in tests: a folder of its own is shared by all there is.
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="listingloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
