@@ -310,13 +310,13 @@ SQL = {
     "parse_fields": """
       select address, category, rating, price, vote_count as votes, online_order = 'Yes' as online_order,
         book_table = 'Yes' as book_table from parsed""",
-    "clean_text": f"select doc_id, length({tidy('text')}) as chars, md5({tidy('text')}) as digest from documents",
+    "clean_text": f"select doc_id, cast(length({tidy('text')}) as integer) as chars, md5({tidy('text')}) as digest from documents",
     "repair_text": f"select doc_id, md5({tidy('text')}) as digest from documents",
     "url_paths": "select page_id, split_part(url, '?', 1) as path from pages",
     "split_tags": f"select address, category, array_to_string({split_tidy('tags')}, '|') as tags from listing",
     "entity_keys": "select address, category, substr(md5(clean_name || '|' || address), 1, 16) as entity_id from parsed",
     "best_listing": f"""
-      select clean_name as name, address, vote_count as votes, url, {piped('categories')}, length(reviews) as review_chars from best""",
+      select clean_name as name, address, vote_count as votes, url, {piped('categories')}, cast(length(reviews) as integer) as review_chars from best""",
     "best_document": """
       select name, lang, votes, lpad(cast(doc_id as varchar), 12, '0') as url, categories from (
         select md5(text) as name, lang, n_chars as votes, doc_id,
@@ -335,7 +335,7 @@ SQL = {
       select doc_id, cast(i - 1 as integer) as position, md5(lines[i]) as digest from (
         select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from {DOC_LINES})""",
     "packed_lines": f"""
-      select doc_id, cast(i - 1 as integer) as position, length(items[i]) as chars, md5(items[i]) as digest from (
+      select doc_id, cast(i - 1 as integer) as position, cast(length(items[i]) as integer) as chars, md5(items[i]) as digest from (
         select doc_id, items, unnest(range(1, len(items) + 1)) as i from (select doc_id, {packed_list('lines')} as items from {DOC_LINES}))""",
     "entity_chunks": "select chunk_id, chunk_type, entity_id, text from chunk",
     "metadata_records": """
@@ -408,9 +408,9 @@ SQL = {
     "source_table": """
       select question_id, cast(rank as integer) as number, name, area, array_to_string(tags, ', ') as tags, kind, price, rating, votes,
         case when pure_veg then 'yes' else '' end as pure_veg, round(similarity, 3) as similarity, url from result""",
-    "prompt_contexts": "select question_id, length(context) as chars, md5(context) as digest from context",
+    "prompt_contexts": "select question_id, cast(length(context) as integer) as chars, md5(context) as digest from context",
     "prompts": """
-      select question_id, length(prompt) as chars, md5(prompt) as digest from (
+      select question_id, cast(length(prompt) as integer) as chars, md5(prompt) as digest from (
         select question_id, context || chr(10) || chr(10) || case when body <> '' then
           'Filters already applied to the search: {' || body || '}' || chr(10) || chr(10) else '' end || 'Question: ' || text as prompt
         from merged join described using (question_id) join context using (question_id) where error is null)""",
