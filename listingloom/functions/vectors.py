@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,31 @@ class HashedTokens:
         return encode
 
 
+def once_per_worker(name: str, make: Callable):
+    """What make() returned first in this worker process, which Spark reuses for many tasks.
+
+    Worker code arrives anew with every task, module globals included; sys.modules stays.
+    """
+    if name not in sys.modules:
+        sys.modules[name] = make()
+    return sys.modules[name]
+
+
+class SentenceEncoder:
+    """A sentence-transformers model, where the workers have that package and the model."""
+
+    def __init__(self, model: str = "sentence-transformers/all-MiniLM-L6-v2"):
+        self.model = model
+
+    def __call__(self) -> Encoder:
+        def load():
+            from sentence_transformers import SentenceTransformer
+
+            return SentenceTransformer(self.model, device="cpu")
+
+        return once_per_worker(f"listingloom model {self.model}", load).encode
+
+
 def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int = fixed.EMBED_BATCH) -> Column:
     """Unit-length vectors of text. The encoder is set up once per task and fed fixed batches."""
 

@@ -114,5 +114,26 @@ def test_embedding_has_unit_length_and_is_the_same_in_any_batch(spark):
     assert lengths == [1.0, 0.0, 0.0, 1.0, 1.0]
 
 
+def test_a_model_is_loaded_once_per_worker(monkeypatch):
+    import sys
+    import types
+
+    loaded = []
+
+    class Model:
+        def __init__(self, name, device):
+            loaded.append((name, device))
+
+        def encode(self, texts):
+            return [[1.0]] * len(texts)
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Model))
+    monkeypatch.delitem(sys.modules, "listingloom model m", raising=False)
+    encoder = vectors.SentenceEncoder("m")
+    assert encoder()(["a", "b"]) == encoder()(["c", "d"]) == [[1.0], [1.0]]
+    assert loaded == [("m", "cpu")]
+    del sys.modules["listingloom model m"]
+
+
 def test_l2_normalise(spark):
     assert values(spark, [[3.0, 4.0], [0.0, 0.0], None], vectors.l2_normalise, "array<float>") == [[0.6, 0.8], [0.0, 0.0], None]
