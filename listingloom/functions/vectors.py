@@ -4,6 +4,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -45,11 +46,13 @@ class HashedTokens:
 def once_per_worker(name: str, make: Callable):
     """What make() returned first in this worker process, which Spark reuses for many tasks.
 
-    Worker code arrives anew with every task, module globals included; sys.modules stays.
+    Worker code arrives anew with every task, module globals included, so the values are kept in a
+    module that only exists in the worker.
     """
-    if name not in sys.modules:
-        sys.modules[name] = make()
-    return sys.modules[name]
+    kept = vars(sys.modules.setdefault("listingloom_worker", ModuleType("listingloom_worker")))
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 class SentenceEncoder:
@@ -64,7 +67,7 @@ class SentenceEncoder:
 
             return SentenceTransformer(self.model, device="cpu")
 
-        return once_per_worker(f"listingloom model {self.model}", load).encode
+        return once_per_worker(f"sentence encoder {self.model}", load).encode
 
 
 def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int = fixed.EMBED_BATCH) -> Column:
