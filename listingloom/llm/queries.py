@@ -3,13 +3,23 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import quality
+from listingloom.llm import quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("spans")
+    counts = {kind: secrets.of_kinds(spans, kind) for kind in secrets.BASE_KINDS}
+    return secrets.scanned(docs).select(
+        F.col("row.doc_id").alias("doc_id"), *(F.size(c).cast("long").alias(f"n_{k}") for k, c in counts.items()),
+        F.sha2(secrets.listed(secrets.of_kinds(spans, *secrets.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = quality.base_failed()
@@ -19,5 +29,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
+}
 SQL: dict[str, str] = {}
