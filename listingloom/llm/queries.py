@@ -1,9 +1,12 @@
 """The registered queries of the operators: each applies one to its whole table and returns its digest columns."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, quality, secrets
+from listingloom.llm import bpe, pfor, quality, secrets
+from listingloom.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +19,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    pfor.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end=2)
+    return pfor.read_ids(spark, folder, ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op10_quality_rules": op10_quality_rules,
