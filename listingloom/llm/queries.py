@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, pfor, quality, secrets
+from listingloom.llm import bpe, pfor, quality, secrets, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -29,6 +29,17 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(spark, folder, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    # The payloads are read too, and so checked against the digests in the headers.
+    key = F.substring_index("record_id", ":", -1)
+    return warc.read_warc(spark, folder).select(
+        F.when(key != "", key.cast("long")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.substring_index("refers_to", ":", -1).cast("long").alias("refers_to"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op1_token_ids": op1_token_ids,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
