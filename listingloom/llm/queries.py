@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, pfor, quality, secrets, warc
+from listingloom.llm import bpe, mixing, pfor, quality, secrets, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -54,6 +54,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select("row.doc_id", "row.source", "n_tokens", "epoch", "place")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = quality.base_failed()
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}
