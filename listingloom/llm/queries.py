@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, mixing, pfor, quality, secrets, warc
+from listingloom.llm import bpe, langid, mixing, pfor, quality, secrets, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -59,6 +59,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("row.doc_id", "row.source", "n_tokens", "epoch", "place")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = langid.learn(docs.filter(~held_out).select("lang", "text"))
+    found = langid.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = quality.base_failed()
@@ -74,6 +82,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}
