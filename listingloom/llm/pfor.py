@@ -92,8 +92,22 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, home: str, percentile: int):
-        self.home, self.percentile = home, percentile
+    def __init__(self, home: str, percentile: int, tokenizer: str | None, end: int | None):
+        self.home, self.percentile, self.tokenizer, self.end = home, percentile, tokenizer, end
+
+    def _ids(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Document ids, token ids and their counts, batch by batch."""
+        if self.tokenizer is None:
+            for batch in iterator:
+                raw, starts = t.as_bytes(batch.column("ids"))
+                yield batch.column("doc_id"), np.frombuffer(raw, dtype="<u4"), np.diff(starts) // 4
+            return
+        library = kept(("library", self.tokenizer), lambda: Library(self.tokenizer))
+        for part in t.slices(iterator, "text"):
+            ids, counts = library.ids(part.column("text"))
+            if self.end is not None:
+                ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(self.end)), counts + 1
+            yield part.column("doc_id"), ids, counts
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         part = TaskContext.get().partitionId()
@@ -113,18 +127,14 @@ class _Writer(DataSourceArrowWriter):
                     out.write(block)
                 return end
 
-            for batch in iterator:
-                if not batch.num_rows:
-                    continue
-                lists, ids = batch.column("ids"), batch.column("doc_id")
-                raw, starts = t.as_bytes(lists)
-                keys.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                known.append(ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
-                counts.append(np.diff(starts) // 4)
-                left = np.concatenate((left, np.frombuffer(raw, dtype="<u4")))
+            for docs, ids, n in self._ids(iterator):
+                keys.append(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                known.append(docs.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
+                counts.append(n)
+                left = np.concatenate((left, ids))
                 whole = len(left) // BLOCK * BLOCK
                 at, left = put(left[:whole]), left[whole:]
-            total = int(sum(c.sum() for c in counts))
+            total = sum(int(n.sum()) for n in counts)
             if len(left):
                 at = put(np.concatenate((left, np.full(BLOCK - len(left), left.min(), dtype=np.uint32))))
             ends = np.cumsum(np.concatenate([*counts, np.zeros(0, dtype=np.int64)])).astype("<u8").tobytes()
@@ -197,8 +207,9 @@ class _Reader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """Format "token_ids". Written: rows (doc_id long, ids binary of little-endian u4), one file per partition, in order,
-    and a manifest that makes them visible together. Read: any of the columns of schema(), only those that are asked for
+    """Format "token_ids". Written: rows (doc_id long, ids binary of little-endian u4), or with the option tokenizer, a
+    file, rows (doc_id long, text string) that are encoded here, with the id in the option end after each. One file per
+    partition, in order, and a manifest that makes them visible together. Read: any of the columns of schema(), only those that are asked for
     by .schema(...) being made; one task per file, read in runs of whole documents through the index of block starts."""
 
     @classmethod
@@ -209,7 +220,9 @@ class TokenIds(DataSource):
         return "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<bigint>"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("percentile", "90")))
+        end = self.options.get("end")
+        percentile = int(self.options.get("percentile", "90"))
+        return _Writer(self.options["path"], percentile, self.options.get("tokenizer"), None if end is None else int(end))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], schema.names, int(self.options.get("blocks", "1024")))
@@ -251,22 +264,11 @@ def write_ids(df: DataFrame, folder: str, path: str, end: int | None, key: str =
     """
     df.sparkSession.dataSource.register(TokenIds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = kept(("library", path), lambda: Library(path))
-        for part in t.slices(batches, "text"):
-            ids, counts = library.ids(part.column("text"))
-            if end is not None:
-                ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
-                counts = counts + 1
-            cuts = np.concatenate(([0], np.cumsum(4 * counts))).astype(np.int32)
-            raw = pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")).tobytes())
-            lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), raw])
-            yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
-
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    dealt.mapInArrow(run, "doc_id long, ids binary").write.format("token_ids").mode("append").save(folder)
+    writer = dealt.write.format("token_ids").option("tokenizer", path)
+    (writer if end is None else writer.option("end", str(end))).mode("append").save(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids")) -> DataFrame:

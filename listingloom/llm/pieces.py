@@ -12,11 +12,14 @@ import regex
 from listingloom.llm import texts as t
 from listingloom.llm.worker import Memo
 
-#: Words and pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 600_000
 
-#: Bytes in texts that need a whole look: a special token may begin, or lower case or white space depend on context.
-_ODD = (b"<|", "Σ".encode(), "\x85".encode(), "᠎".encode())
+#: Signs in texts that need a whole look: a special token may begin, or lower case or white space depend on more than one
+#: character.
+_ODD = ("<|", "Σ", "İ", "\x85", "\u180e")
+#: Signs that end most words that are not of letters alone.
+_STOPS = frozenset(".,;:!?")
 
 
 def byte_letters() -> list[str]:
@@ -67,7 +70,7 @@ class Encoder:
 
     def __init__(self, layout: Layout, encode: Callable[[str], list[int]]):
         self.layout, self.encode = layout, encode
-        self.pieces, self.words = Memo(REMEMBERED), Memo(REMEMBERED)
+        self.pieces = Memo(REMEMBERED)
 
     def piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
@@ -76,15 +79,20 @@ class Encoder:
         return ids if ids is not None else self.pieces.add(piece, np.array(self.encode(piece), dtype="<u4").tobytes())
 
     def word(self, word: str) -> bytes:
-        return self.words.add(word, b"".join(map(self.piece, self.layout.cut.findall(word.lower()))))
+        """The ids of a lower-cased word without white space."""
+        if word.isalpha():
+            return self.piece(word)
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return self.piece(word[:-1]) + self.piece(word[-1])
+        return b"".join(map(self.piece, self.layout.cut.findall(word)))
 
     def odd(self, texts: pa.Array) -> np.ndarray:
         """Which texts are not plain words between white space."""
         data, _ = t.as_bytes(texts)
         raw, whole = memoryview(data), texts.to_pylist()
         seen = bytes(raw)
-        if any(o in seen for o in _ODD) or ((data >= 0x1C) & (data <= 0x1F)).any():
-            signs = regex.compile("<\\||[Σ\x85᠎\x1c-\x1f]")
+        if any(o.encode() in seen for o in _ODD) or ((data >= 0x1C) & (data <= 0x1F)).any():
+            signs = regex.compile("<\\||[Σİ\x85\u180e\x1c-\x1f]")
             odd = [bool(signs.search(x)) for x in whole]
         else:
             odd = [False] * len(whole)
@@ -93,10 +101,10 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), one text after another, and how many each text has."""
         odd = self.odd(texts)
-        words = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(odd), "", texts)))
         first = words.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.values)
-        known, encoded = self.words, []
+        known, encoded = self.pieces, []
         for word in coded.dictionary.to_pylist():
             ids = known.get(word)
             encoded.append(self.word(word) if ids is None else ids)
