@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, langid, mixing, pfor, quality, secrets, topk, warc
+from listingloom.llm import bpe, jaccard, langid, mixing, pfor, quality, secrets, topk, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -72,6 +72,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = quality.base_failed()
@@ -89,6 +93,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op9_jaccard": op9_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}

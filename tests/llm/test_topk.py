@@ -57,8 +57,8 @@ def test_vectors_of_the_test_tables(spark):
 
 def test_lists_stop_early_on_clustered_vectors():
     rng = np.random.default_rng(6)
-    centres = rng.integers(-60, 60, (40, 6))
-    vectors = np.repeat(centres, 100, axis=0) + rng.integers(-2, 3, (4000, 6))
+    centres = rng.integers(-60, 60, (40, 3))
+    vectors = np.repeat(centres, 100, axis=0) + rng.integers(-2, 3, (4000, 3))
     lists = topk.Lists(vectors, 64)
     for q in vectors[::500].astype(lists.vectors.dtype):
         places, scores, looked = lists.top(q, lists.bounds(q[None])[0], -math.inf, 21)
