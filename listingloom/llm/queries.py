@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, jaccard, langid, mixing, pfor, quality, secrets, topk, warc
+from listingloom.llm import bpe, jaccard, langid, mixing, pfor, quality, repeats, secrets, topk, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -29,6 +29,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(spark, folder, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"), length=50, digest=True)
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -86,6 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_repeats": op2_repeats,
     "op3_top_k": op3_top_k,
     "op4_warc": op4_warc,
     "op1_token_ids": op1_token_ids,

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from listingloom.llm.worker import kept
+
 #: Texts handled at once, in bytes; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -52,8 +54,15 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
+#: Powers of a base up to this one are kept by a worker.
+_KEPT_POWERS = 1 << 20
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, base, dtype=np.uint64))))
+    def make(upto: int) -> np.ndarray:
+        return np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(upto, base, dtype=np.uint64))))
+
+    return kept(("powers", base), lambda: make(_KEPT_POWERS))[: n + 1] if n <= _KEPT_POWERS else make(n)
 
 
 class Spans:
