@@ -12,8 +12,8 @@ from listingloom.sources.shared import written
 
 #: Distinct vectors in a block of candidates, and in a pack of queries.
 BLOCK_VECTORS, PACK_VECTORS = 4096, 1024
-#: Entries of every list that the first round reads; each further round reads twice as deep.
-FIRST_DEPTH = 32
+#: Entries of every list that the first round reads; each further round reads four times as deep.
+FIRST_DEPTH = 8
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -29,65 +29,75 @@ class Lists:
         """largest: the largest size of a component on either side; it decides which arithmetic is exact."""
         bound = vectors.shape[1] * largest * largest
         kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
-        self.vectors = vectors.astype(kind)
+        self.largest, self.vectors = largest, vectors.astype(kind)
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0)
-        n, depths = len(vectors), []
-        depth = FIRST_DEPTH
-        while depth < n:
-            depths.append(depth)
-            depth *= 2
-        self.depths = [*depths, n]
+        # Deeper rounds would read more entries than the block has items.
+        n, depth, self.depths = len(vectors), FIRST_DEPTH, []
+        while depth < n and (not self.depths or depth * vectors.shape[1] <= n):
+            self.depths.append(depth)
+            depth *= 4
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """What an item that no list has shown down to each depth can score at most, by query and depth."""
-        inner = np.array(self.depths[:-1], dtype=np.int64)
+        inner = np.array(self.depths, dtype=np.int64)
         high, low = self.sorted[len(self.vectors) - 1 - inner], self.sorted[inner]
         return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
-    def top(self, query: np.ndarray, bounds: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Places and scores of all items that may be among the k best and score at least `floor`, and items scored.
-
-        Round by round, the lists are read deeper: from the top where the query's component is positive, from the
-        bottom where it is negative. New items are scored in full. The search stops when the bound of what is unseen
-        lies below the kth score so far, or below the floor; an equal score may still win by its id.
+    def _round(self, query: np.ndarray, before: int, depth: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items that the lists show between two depths for the first time, and their scores: from the top where the
+        query's component is positive, from the bottom where it is negative."""
+        up, down, n = np.flatnonzero(query > 0), np.flatnonzero(query < 0), len(seen)
+        shown = np.concatenate((self.order[up, n - depth : n - before].reshape(-1), self.order[down, before:depth].reshape(-1)))
+        fresh = np.unique(shown)
+        fresh = fresh[~seen[fresh]]
+        seen[fresh] = True
+        return fresh, self.vectors[fresh] @ query
+
+    def top(self, queries: np.ndarray, floors: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Per query: places and scores of all items that may be among the k best and score at least its floor, and how
+        many items were scored.
+
+        Round by round, the lists are read deeper and new items are scored in full. A query stops when the bound of what
+        is unseen lies below its kth score so far, or below the floor; an equal score may still win by its id. Queries
+        that no list round can stop are scored against the rest of the block together.
         """
-        n = len(self.vectors)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, scores = np.zeros(n, dtype=bool), np.full(n, -np.inf) if self.vectors.dtype != object else np.full(n, -math.inf, dtype=object)
-        if not len(up) and not len(down):
-            return np.arange(n), np.zeros(n, dtype=self.vectors.dtype), 0
-        if self.vectors.dtype == np.int64:
-            scores = np.full(n, np.iinfo(np.int64).min)
-        before = 0
-        for r, depth in enumerate(self.depths):
-            fresh = np.zeros(n, dtype=bool)
-            fresh[self.order[up, n - depth : n - before].reshape(-1)] = True
-            fresh[self.order[down, before:depth].reshape(-1)] = True
-            fresh &= ~seen
-            places = np.flatnonzero(fresh)
-            if 4 * len(places) > n:  # many at once: the whole product is cheaper than a copy of the rows
-                scores[places] = (self.vectors @ query)[places]
-            else:
-                scores[places] = self.vectors[places] @ query
-            seen |= fresh
-            before = depth
-            if r < len(self.depths) - 1:
-                if seen.sum() >= k:
-                    floor = max(floor, np.partition(scores, n - k)[n - k])
-                if bounds[r] < floor:
+        n, bounds = len(self.vectors), self.bounds(queries)
+        done: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        floors = list(floors)
+        for q, query in enumerate(queries):
+            seen, places, scores = np.zeros(n, dtype=bool), [], []
+            for r, depth in enumerate(self.depths):
+                fresh, got = self._round(query, self.depths[r - 1] if r else 0, depth, seen)
+                places.append(fresh)
+                scores.append(got)
+                all_scores = np.concatenate(scores)
+                if len(all_scores) >= k:
+                    floors[q] = max(floors[q], np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k])
+                if bounds[q, r] < floors[q]:
+                    every = np.concatenate(places)
+                    fit = all_scores >= floors[q]
+                    done[q] = every[fit], all_scores[fit], len(every)
                     break
-        if seen.sum() > k:
-            floor = max(floor, np.partition(scores, n - k)[n - k])
-        found = np.flatnonzero(seen & (scores >= floor))
-        return found, scores[found], int(seen.sum())
-
-
-def _matrix(raw: list[list[int]]) -> np.ndarray:
-    width = max(map(len, raw), default=0)
-    out = np.zeros((len(raw), width), dtype=np.int64)
-    for row, values in zip(out, raw, strict=True):
-        row[: len(values)] = values
+        open_queries = [q for q in range(len(queries)) if q not in done]
+        products = queries[open_queries] @ self.vectors.T
+        for q, scores in zip(open_queries, products, strict=True):
+            places = np.flatnonzero(scores >= floors[q])
+            if len(places) > k:
+                fit = scores[places]
+                places = places[fit >= np.partition(fit, len(fit) - k)[len(fit) - k]]
+            done[q] = places, scores[places], n
+        for q in range(len(queries)):
+            yield done[q]
+
+
+def _matrix(rows: pa.ListArray) -> np.ndarray:
+    """Vectors as rows of a matrix, filled up with zeros."""
+    cuts = rows.offsets.to_numpy().astype(np.int64)
+    sizes, flat = np.diff(cuts), rows.values.to_numpy()[cuts[0] : cuts[-1]]
+    width = int(sizes.max(initial=0))
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
@@ -95,59 +105,48 @@ def _widened(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] == width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
-_PACKED = "number long, ids array<array<bigint>>, vectors array<array<bigint>>, bars array<bigint>"
-
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Rows with a column `vector` in lists of about `size` of them, by a hash of the vector: number, rows.
 
-def _packs(classes: DataFrame, size: int) -> DataFrame:
-    """Distinct vectors in rows of about `size` of them: number, ids, vectors, bars."""
-    n = classes.count()
-    number = F.pmod(F.xxhash64("vector"), F.lit(max(1, math.ceil(n / size))))
-    bar = F.col("bar") if "bar" in classes.columns else F.lit(None).cast("long")
-    rows = classes.select(number.alias("number"), "ids", "vector", bar.alias("bar"))
-    # No list outgrows a block, as each row is of another vector; nulls among the bars keep their places.
-    packed = rows.groupBy("number").agg(F.collect_list(F.struct("ids", "vector", "bar")).alias("rows"))
-    return packed.select("number", F.col("rows.ids").alias("ids"), F.col("rows.vector").alias("vectors"), F.col("rows.bar").alias("bars"))
+    No list outgrows a block, as each row is of another vector.
+    """
+    number = F.pmod(F.xxhash64("vector"), F.lit(max(1, math.ceil(rows.count() / size))))
+    return rows.groupBy(number.alias("number")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
 
 
 def _searched(packs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The candidates of every query of the packs in every block: query vector, score, id. Packs carry `block`."""
+    """The candidates of every query in the block that its pack is sent to: query, score, id.
+
+    packs: block, rows (query, vector, bar); blocks: number, rows (vector, ids).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, vectors, lists, largest_there = None, None, None, 0
+        number, ids, vectors, lists = None, [], np.zeros((0, 0), dtype=np.int64), None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("number", "ids", "vectors", "query_vectors", "query_bars")}
-                if number != row["number"]:
-                    number, vectors, lists = row["number"], _matrix(row["vectors"]), None
-                    largest_there = int(np.abs(vectors).max(initial=0))
-                queries = _matrix(row["query_vectors"])
+                if number != batch.column("number")[i].as_py():
+                    number, rows = batch.column("number")[i].as_py(), batch.column("rows")[i].values
+                    ids, vectors, lists = rows.field("ids").to_pylist(), _matrix(rows.field("vector")), None
+                asked = batch.column("asked")[i].values
+                queries = _matrix(asked.field("vector"))
                 width = max(vectors.shape[1], queries.shape[1], 1)
-                largest = max(largest_there, int(np.abs(queries).max(initial=0)))
+                largest = max(int(np.abs(x).max(initial=0)) for x in (vectors, queries))
                 if lists is None or lists.largest < largest or lists.vectors.shape[1] != width:
                     lists = Lists(_widened(vectors, width), largest)
-                    lists.largest = largest
-                queries = _widened(queries, width).astype(lists.vectors.dtype)
-                bounds = lists.bounds(queries)
-                out_vector, out_score, out_id = [], [], []
-                for q, vector in enumerate(row["query_vectors"]):
-                    bar = row["query_bars"][q]
-                    places, scores, _ = lists.top(queries[q], bounds[q], -math.inf if bar is None else bar, k)
-                    best = sorted((-int(s), x) for p, s in zip(places, scores, strict=True) for x in row["ids"][p])[:k]
-                    out_vector += [vector] * len(best)
-                    out_score += [-s for s, _ in best]
-                    out_id += [x for _, x in best]
-                yield pa.record_batch(
-                    [pa.array(out_vector, pa.list_(pa.int64())), pa.array(out_score, pa.int64()), pa.array(out_id, pa.int64())],
-                    names=["query_vector", "score", "id"],
-                )
-
-    met = packs.join(blocks, packs.block == blocks.number).select(
-        blocks.number, blocks.ids, blocks.vectors, packs.vectors.alias("query_vectors"), packs.bars.alias("query_bars")
-    )
-    return met.mapInArrow(run, "query_vector array<bigint>, score long, id long")
+                floors = [-math.inf if bar is None else bar for bar in asked.field("bar").to_pylist()]
+                found = lists.top(_widened(queries, width).astype(lists.vectors.dtype), floors, k)
+                out: list[tuple[int, int, int]] = []
+                for query, (places, scores, _) in zip(asked.field("query").to_pylist(), found, strict=True):
+                    best = sorted((-int(s), x) for p, s in zip(places, scores, strict=True) for x in ids[p])[:k]
+                    out += [(query, -s, x) for s, x in best]
+                columns = zip(*out, strict=True) if out else ([], [], [])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query", "score", "id"])
+
+    met = packs.select("block", F.col("rows").alias("asked")).join(blocks, F.col("block") == F.col("number"))
+    return met.select("number", "rows", "asked").mapInArrow(run, "query long, score long, id long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_vector").orderBy(F.col("score").desc(), "id")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
@@ -173,19 +172,23 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("vector"), is_query.alias("asks"))
     rows = rows.filter("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     rows = written(rows, "topk-rows")
-    blocks = written(_packs(_classes(rows.select("id", "vector"), k + 1), BLOCK_VECTORS), "topk-blocks")
-    queries = rows.filter("asks")
-    asked = queries.select("vector").distinct().withColumn("ids", F.array().cast("array<bigint>"))
-    first = blocks.agg(F.min("number").alias("n")).first()["n"]
-    seeds = _searched(_packs(asked, PACK_VECTORS).withColumn("block", F.lit(first)), blocks.filter(F.col("number") == first), k + 1)
-    seeds = written(_best(seeds, k + 1), "topk-seeds")
-    bars = seeds.filter(F.col("place") == k + 1).select(F.col("query_vector").alias("vector"), F.col("score").alias("bar"))
-    numbers = [r["number"] for r in blocks.filter(F.col("number") != F.lit(first)).select("number").collect()] if first is not None else []
-    packs = _packs(asked.join(bars, "vector", "left"), PACK_VECTORS)
-    others = packs.withColumn("block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.expr("array()").cast("array<bigint>")))
-    found = seeds.select("query_vector", "score", "id").unionByName(_searched(others, blocks, k + 1))
-    best = _best(found, k + 1).select("query_vector", "score", F.col("id").alias("other"))
-    mine = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    near = mine.join(best, "query_vector").filter(F.col("other") != F.col("query_id"))
+    blocks = written(_packed(_classes(rows.select("id", "vector"), k + 1), BLOCK_VECTORS), "topk-blocks")
+    numbers = [r["number"] for r in blocks.select("number").collect()]
+    if not numbers:
+        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.col("id").alias("score")).limit(0)
+    # Queries with one vector are one query, known by its smallest id.
+    asked = rows.filter("asks").groupBy("vector").agg(F.min("id").alias("query"))
+    seeds = _packed(asked.withColumn("bar", F.lit(None).cast("long")), PACK_VECTORS)
+    sent = seeds.withColumn("block", F.explode(F.array(F.lit(numbers[0]))))
+    seeds = written(_best(_searched(sent, blocks, k + 1), k + 1), "topk-seeds")
+    bars = seeds.filter(F.col("place") == k + 1).select("query", F.col("score").alias("bar"))
+    found = seeds.select("query", "score", "id")
+    if numbers[1:]:
+        sent = _packed(asked.join(bars, "query", "left").select("vector", "query", "bar"), PACK_VECTORS)
+        others = sent.withColumn("block", F.explode(F.array(*map(F.lit, numbers[1:]))))
+        found = found.unionByName(_searched(others, blocks, k + 1))
+    best = _best(found, k + 1).select("query", "score", F.col("id").alias("other"))
+    mine = rows.filter("asks").join(asked, "vector").select(F.col("id").alias("query_id"), "query")
+    near = mine.join(best, "query").filter(F.col("other") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "other"))
     return near.select("query_id", rank.alias("rank"), F.col("other").alias("id"), "score").filter(F.col("rank") <= k)
