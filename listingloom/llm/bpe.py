@@ -211,7 +211,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every row of `df` in one column `row` (a struct), with `ids`, the token ids of its text (array of long).
+    """Every row of `df` in one column `row` (a struct), with `ids`, the token ids of its text (array of int).
 
     The ids are those that the tokenizer file gives without added special tokens; special tokens that stand in a text
     get their own id. A null or empty text has no ids. Other columns pass through whatever their names; equal rows
@@ -223,11 +223,11 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         encoder = vocabulary(path).encoder
         for part in t.slices(batches, "text"):
             ids, counts = encoder.ids(part.column("text"))
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(ids.astype(np.int64)))
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([part.column("row"), lists], names=["row", "ids"])
 
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return packed.mapInArrow(run, f"row struct<{fields}>, ids array<bigint>")
+    return packed.mapInArrow(run, f"row struct<{fields}>, ids array<int>")
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
