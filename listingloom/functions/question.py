@@ -14,6 +14,7 @@ PRICE_PATTERNS = {
     # What may lead the number is optional, so here the pattern can begin at the digits.
     fixed.pattern(f"{fixed.DIGITS}SPACE*(?:{'|'.join(fixed.PRICE_AFTER)})") + fixed.WORD_END: fixed.PRICE_AFTER,
 }
+LARGEST_PRICE = 2**63 - 1
 RATING_PATTERN = (
     fixed.starting(fixed.RATING_WORD_FIRST, "rs") + "|" + fixed.whole_words(fixed.RATING_NUMBER_FIRST, "0-9")
 )
@@ -34,9 +35,9 @@ def _first_where(value: Column, accept) -> Column:
 
 
 def _amount(digits: Column) -> Column:
-    # No price has more than 18 digits, so a longer cap works like this one.
-    bare = F.regexp_replace(digits, ",|^[0,]+", "")
-    return F.when(F.length(bare) > 18, F.lit(10**18)).otherwise(F.nullif(bare, F.lit("")).try_cast("bigint"))
+    # What does not fit is above every price that can be stored, as the largest number is above or equal to all of them.
+    bare = F.nullif(F.regexp_replace(digits, ",|^[0,]+", ""), F.lit(""))
+    return F.when(bare.isNotNull(), F.coalesce(bare.try_cast("bigint"), F.lit(LARGEST_PRICE)))
 
 
 def max_price(question: Column) -> Column:

@@ -18,7 +18,7 @@ def _pair_texts(cell: str | None) -> list[str]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")  # odd escapes inside reviews are legal text
             pairs = ast.literal_eval(cell)
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+    except (ValueError, SyntaxError, TypeError, RecursionError):
         return []
     texts = (str(pair[1]) for pair in pairs if isinstance(pair, (tuple, list)) and len(pair) > 1)
     # Lone surrogates cannot leave Python as UTF-8.

@@ -1,10 +1,11 @@
 """Listings to one cleaned record per entity."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listingloom.functions import parse
 from listingloom.functions.reviews import excerpts, is_pure_veg, parse_reviews
 from listingloom.functions.text import entity_id, fix_text, split_list
+from listingloom.sources.shared import written
 
 ENTITY_COLUMNS = [
     "entity_id", "name", "address", "area", "city", "kind", "tags", "liked", "rating", "votes", "price",
@@ -67,12 +68,24 @@ def normalise(best: DataFrame) -> DataFrame:
     )
 
 
+def output_order() -> list[Column]:
+    """Most votes first, then longest review text."""
+    return [F.desc("votes"), F.desc("review_chars"), F.col("name"), F.col("address")]
+
+
 def top_listings(best: DataFrame, limit: int) -> DataFrame:
-    """The first entities in the order most votes, then longest review text."""
-    return best.orderBy(F.desc("votes"), F.desc("review_chars"), "name", "address").limit(limit)
+    """The first entities in the order most votes, then longest review text.
+
+    The order is settled on keys and counts alone, a top-n per task and of those; the rest of a listing is fetched for the
+    chosen ones only. The winners are stored first, so that they are not picked twice.
+    """
+    stored = written(best, "best-listings")
+    keys = stored.select("votes", "review_chars", "name", "address").orderBy(*output_order()).limit(limit)
+    return stored.join(keys.select("name", "address"), ["name", "address"], "left_semi")
 
 
-def clean(listings: DataFrame, limit: int | None = None) -> DataFrame:
-    """Cleaned entities; with a limit, only the first ones by votes and review text."""
+def clean(listings: DataFrame, limit: int | None = None, ordered: bool = False) -> DataFrame:
+    """Cleaned entities; with a limit, only the first ones by votes and review text; ordered, in that order."""
     best = best_listings(listings)
-    return normalise(top_listings(best, limit) if limit else best)
+    best = top_listings(best, limit) if limit else best
+    return normalise(best.orderBy(*output_order()) if ordered else best)

@@ -14,6 +14,13 @@ LISTS = ["tags", "areas"]
 SCALARS = ["max_price", "min_rating"]
 FLAGS = ["pure_veg", "online_order", "book_table"]
 
+# What the filters ask of a row. The tests take Columns or arrays alike, so that catalogue and search agree by construction.
+NUMBER_TESTS = {
+    "max_price": ("price", lambda price, limit: (price >= 0) & (price <= limit)),
+    "min_rating": ("rating", lambda rating, least: rating >= least),
+}
+LIST_TESTS = {"tags": "tags", "areas": "area", "cells": "cell"}
+
 
 @dataclass
 class Filters:
@@ -39,10 +46,9 @@ def to_predicate(filters: Filters) -> Column | None:
         conditions.append(F.arrays_overlap("tags", F.array(*map(F.lit, filters.tags))))
     if filters.areas:
         conditions.append(F.col("area").isin(filters.areas))
-    if filters.max_price is not None:
-        conditions.append(F.col("price").between(0, filters.max_price))
-    if filters.min_rating is not None:
-        conditions.append(F.col("rating") >= filters.min_rating)
+    for name, (column, test) in NUMBER_TESTS.items():
+        if getattr(filters, name) is not None:
+            conditions.append(test(F.col(column), getattr(filters, name)))
     conditions += [F.col(flag) for flag in FLAGS if getattr(filters, flag)]
     return reduce(Column.__and__, conditions) if conditions else None
 

@@ -1,38 +1,71 @@
 """The raw listings file."""
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listingloom import fixed
 from listingloom.errors import DatasetError
 from listingloom.functions.parse import null_tokens
+from listingloom.sources.shared import spread
 
 
 def read_or_none(spark: SparkSession, path: str, file_format: str = "parquet", **options) -> DataFrame | None:
-    """A table, or None where the path does not exist. Other errors stay errors."""
+    """A table, or None where the path does not exist. A folder without readable files is damage, and an error."""
     try:
         return spark.read.options(**options).format(file_format).load(str(path))
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            raise DatasetError(f"{path} holds no readable table.") from error
         raise
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The first line of every file, and the files that begin with it.
+
+    One pass over the lines, far cheaper than parsing them. Lines are numbered in the order of a file within its first block.
+    """
+    lines = read_or_none(spark, path, "text")
+    if lines is None:
+        raise DatasetError(f"Dataset not found at {path}.")
+    # Names beside the lines, so that a file without any line is not missed as a header.
+    first = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    first = first.withColumn("place", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.collect():
+        files.setdefault(row["header"], []).append(unquote(row["file_path"]))
+    return files
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Raw listings as strings: the mapped columns only, renamed, with missing values as null.
 
-    Quoted fields hold line breaks, so one CSV file is one task: pass a folder of many files, or
-    land the result as Parquet once.
+    Columns are bound by name in every file: files with one header are read together, and each header must have all
+    mapped columns, in any order, among any others. Quoted fields hold line breaks, so one file is parsed by one task; few
+    files are then spread over all cores.
     """
-    raw = read_or_none(spark, path, "csv", header=True, multiLine=True, escape='"')
-    if raw is None:
-        raise DatasetError(f"Dataset not found at {path}.")
-    return standard_columns(raw)
+    parts = []
+    for header, files in sorted(_headers(spark, path).items()):
+        names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+        if missing := missing_columns(names):
+            raise DatasetError(f"Dataset is missing expected columns: {missing} in {sorted(files)[0]}")
+        parts.append(standard_columns(spark.read.csv(sorted(files), header=True, multiLine=True, escape='"')))
+    if not parts:
+        raise DatasetError(f"Dataset is missing expected columns: {missing_columns([])} in {path}")
+    return spread(reduce(DataFrame.unionByName, parts))
+
+
+def missing_columns(names: list[str]) -> list[str]:
+    return sorted(set(fixed.RAW_COLUMNS) - set(names))
 
 
 def standard_columns(raw: DataFrame) -> DataFrame:
     """The mapped columns under their names here; an error when the header lacks any of them."""
-    missing = sorted(set(fixed.RAW_COLUMNS) - set(raw.columns))
-    if missing:
+    if missing := missing_columns(raw.columns):
         raise DatasetError(f"Dataset is missing expected columns: {missing}")
     return raw.select(*(null_tokens(F.col(f"`{old}`")).alias(new) for old, new in fixed.RAW_COLUMNS.items()))
