@@ -20,7 +20,7 @@ select
   'Unit ' || cast(p.p_partkey as string) as address,
   case when p.p_partkey % 13 <> 0 then r_name || ' ' || cast(n_nationkey as string) || 'th Block' end as area,
   r_name as city,
-  p.p_type as kind,
+  case when p.p_partkey % 31 = 0 then 'N/A' else p.p_type end as kind,
   p.p_name || ', ' || p.adjective || ' ,' || p.noun || ', ' || p.p_name as tags,
   case when p.p_partkey % 7 <> 0 then p.p_brand || ', ' || p.noun || ' set' end as liked,
   case when p.p_partkey % 9 = 0 then 'NEW' when p.p_partkey % 9 = 1 then '-' when p.p_partkey % 9 <> 2 then
@@ -52,7 +52,7 @@ left join {documents} d on d.doc_id = p.p_partkey
 # One question per customer, in 15 wordings; the last one is blank.
 QUESTION = """
 select c_custkey as question_id, case c_custkey % 15
-  when 0 then p_name || 's in ' || region || ' under ' || price
+  when 0 then p_name || 's in ' || region || ' under ' || case when c_custkey % 30 = 0 then '5000000000000000000' else price end
   when 1 then 'Find highly rated ' || p_name || 's'
   when 2 then 'best ' || p_name || ' below Rs. ' || '1,' || substr(cast(1000 + c_custkey % 900 as string), 2) || ' for two'
   when 3 then 'cheap ' || noun || 's in ' || region || ' ' || place || 'th block'
@@ -105,13 +105,13 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 
 def literal(lines):
-    """Lines of text as the literal list of pairs that scraped files hold."""
+    """Lines of text as the literal list of pairs that scraped files hold, with two items that are no pairs."""
     escaped = F.transform(F.split(lines, "\n"), lambda line: F.concat(
         F.lit("('Rated 4.0', 'RATED\\n  "),
         F.replace(F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\r"), F.lit("\\r")),
         F.lit("')"),
     ))
-    return F.concat(F.lit("["), F.array_join(escaped, ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(escaped, ", "), F.lit(", ('alone',), 7]"))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def _case_null(condition: str, value: str) -> str:
 
 ESCAPED = "replace(replace(replace(x, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)), chr(13), chr(92) || 'r')"
 PAIR = rf"'(''Rated 4.0'', ''RATED\n  ' || {ESCAPED} || ''')'"
-LITERAL = f"coalesce('[' || array_to_string(list_transform(string_split(lines, chr(10)), lambda x: {PAIR}), ', ') || ']', '[]')"
+LITERAL = f"coalesce('[' || array_to_string(list_transform(string_split(lines, chr(10)), lambda x: {PAIR}), ', ') || ', (''alone'',), 7]', '[]')"
 
 CTES = {
     "listing": f"select *, {LITERAL} as reviews from ({_inputs(inputs.LISTING)})",
@@ -425,8 +425,10 @@ SQL = {
       select (select count(*) from listing) as raw_rows, (select count(*) from entity) as entities,
         (select count(*) from chunk) as chunks, (select count(*) from chunk) as stored""",
     "top_entities": """
-      select substr(md5(clean_name || '|' || address), 1, 16) as entity_id, clean_name as name, vote_count as votes, split_part(url, '?', 1) as url
-      from best order by vote_count desc, length(reviews) desc, clean_name, address limit 100""",
-    "csv_scan": "select * exclude (lines, reviews), md5(reviews) as reviews from listing",
+      select substr(md5(clean_name || '|' || address), 1, 16) as entity_id, clean_name as name, vote_count as votes, split_part(url, '?', 1) as url,
+        array_to_string(reviews, '|') as reviews
+      from (select b.* exclude (reviews), length(b.reviews) as chars, e.reviews from best b join entity e on e.entity_id = substr(md5(b.clean_name || '|' || b.address), 1, 16))
+      order by vote_count desc, chars desc, clean_name, address limit 100""",
+    "csv_scan": "select * exclude (lines, reviews) replace (nullif(kind, 'N/A') as kind), md5(reviews) as reviews from listing",
 }
 SQL = {name: with_ctes(sql) for name, sql in SQL.items()}

@@ -106,7 +106,8 @@ def clean_entities(spark, sf):
 
 @query
 def top_entities(spark, sf):
-    return clean(inputs.listings(spark, sf), limit=100).select("entity_id", "name", "votes", "url")
+    rows = clean(inputs.listings(spark, sf), limit=100)
+    return rows.select("entity_id", "name", "votes", "url", piped("reviews"))
 
 
 @query
@@ -126,10 +127,12 @@ def area_vocab(spark, sf):
 
 @query
 def csv_scan(spark, sf):
-    """The listings through a raw CSV file and back."""
+    """The listings through raw CSV files with two orders of columns, and back."""
     path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
-    inputs.raw_listings(spark, sf).write.options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = inputs.raw_listings(spark, sf)
+    for half, columns in enumerate((rows.columns, rows.columns[::-1])):
+        rows.where(F.pmod(F.xxhash64("url"), F.lit(2)) == half).select(columns).write.mode("append").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     rows = read_listings(spark, path)
     return rows.select(*(F.md5("reviews").alias(c) if c == "reviews" else c for c in rows.columns))
 
