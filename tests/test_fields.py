@@ -16,12 +16,12 @@ def check(spark, cases, function, schema="string"):
 
 
 def test_rating(spark):
-    check(spark, {"4.1/5": 4.1, "3.9 /5": 3.9, " 4 / 5 ": 4.0, "9/5": 9.0, "NEW": None, "-": None, None: None, "4.1": None,
-                  "4.1/50": None, "x4.1/5": None}, parse.rating)
+    check(spark, {"2.7/5": 2.7, "3.3 /5": 3.3, " 4 / 5 ": 4.0, "9/5": 9.0, "TBD": None, "--": None, None: None, "2.7": None,
+                  "2.7/50": None, "x2.7/5": None}, parse.rating)
 
 
 def test_price(spark):
-    check(spark, {"800": 800, "1,200": 1200, " 7 ": 7, None: None, "abc": None, "800.0": None, "-5": None, "": None}, parse.price)
+    check(spark, {"650": 650, "12,340": 12340, " 7 ": 7, None: None, "free": None, "800.0": None, "-5": None, "": None}, parse.price)
 
 
 def test_votes(spark):
@@ -30,7 +30,7 @@ def test_votes(spark):
 
 def test_fix_text(spark):
     check(spark, {
-        "CafÃ©  Coffee\n Day": "Café Coffee Day",
+        "BÃ¤ckerei  am\n See": "Bäckerei am See",
         "  a  b\u0085c \x1c d ": "a b c d",
         "Ã but 漢": "Ã but 漢",  # not Latin-1
         "Ã©a â": "Ã©a â",  # not UTF-8 bytes
@@ -66,14 +66,14 @@ def test_url_yes_and_numbers(spark):
 
 
 def test_parse_reviews(spark):
-    good = "[('Rated 4.0', 'RATED\\n  Great food, went with my family and loved it.'), ('Rated 1.0', 'RATED\\n  ok')]"
+    good = "[('Rated 3.5', 'RATED\\n  The soup was hot and the bread still warm from the oven.'), ('Rated 2.0', 'RATED\\n  meh')]"
     twice = repr([["a", "The same long review text, repeated."], ("b", "The same long review text, repeated.")])
     odd = "[1, 'text', ('only one',), (None, 'RATED A label may be missing here, fine.'), ('n', 12345678901234567890123456789012)]"
     check(spark, {
-        good: ["Great food, went with my family and loved it."],
+        good: ["The soup was hot and the bread still warm from the oven."],
         twice: ["The same long review text, repeated."],
         odd: ["A label may be missing here, fine.", "12345678901234567890123456789012"],
-        "not a list": [], "[broken": [], "[]": [], None: [], "[('a', 'b'": [], "[{[]: 1}]": [], "(('a', 'b'),)": [],
+        "plain words": [], "[(cut off": [], "[]": [], None: [], "[('a', 'b'": [], "[{[]: 1}]": [], "(('a', 'b'),)": [],
     }, reviews.parse_reviews)
 
 
