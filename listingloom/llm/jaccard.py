@@ -18,13 +18,14 @@ from listingloom.sources.shared import written
 #: Cells of the sketch that estimates how often a shingle occurs: a fixed size, 4 MB where it is broadcast.
 CELLS, PARTS = 1 << 22, 64
 #: The most matches that a prefix may be lengthened for, and what a verification costs in looks at list entries.
-MOST_MATCHES, VERIFY_COST = 8, 20
-#: Hub keys per document; each is drawn from two minimum hashes.
-HUB_KEYS = 4
+MOST_MATCHES, VERIFY_COST = 4, 20
+#: Minimum hashes per document. Each is a hub key, and so is each of the pairs they form: near copies almost surely
+#: share some of them, and a pair is seldom shared by anything else.
+HUB_HASHES = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_DRAWS = np.random.default_rng(99).integers(1, 2**63, size=(2 * HUB_KEYS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWS = np.random.default_rng(99).integers(1, 2**63, size=(HUB_HASHES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,8 @@ def prefix(own: np.ndarray, sketch: np.ndarray, rule: Rule) -> tuple[np.ndarray,
 
 def _hubs(own: np.ndarray) -> list[int]:
     least = np.array([np.min(t.mix((own ^ a) * b)) for a, b in _DRAWS])
-    return t.mix(least[0::2] * np.uint64(3) + least[1::2]).view(np.int64).tolist()
+    alone = t.mix(least + np.arange(len(least), dtype=np.uint64))
+    return np.concatenate((alone, t.mix(least[0::2] * np.uint64(3) + least[1::2]))).view(np.int64).tolist()
 
 
 def _second_look(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
@@ -254,13 +256,15 @@ def _candidates(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different groups that share enough tokens of their prefixes and may still overlap enough.
 
     Before its entry at `place` a set has `before` tokens that other groups share; the others there are shared with none.
-    So a pair that meets at an entry shares at most the smaller `before`, this token, and the shorter rest.
+    So a pair that meets at an entry shares at most the smaller `before`, this token, and the shorter rest. With m matches
+    needed, only its first m common tokens have to be seen, and before those it shares at most m - 1.
     """
     facts = sets.select("code", "node", "doc_id", "n", "matches")
     entries = lists.join(facts, "code").withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
     entries = written(entries.withColumn("rest", F.col("n") - F.col("place") - 1), "jaccard-lists")
     x, y = entries.alias("x"), entries.alias("y")
-    most = F.least("x.before", "y.before") + 1 + F.least("x.rest", "y.rest")
+    needed = F.least("x.matches", "y.matches")
+    most = F.least("x.before", "y.before", needed - 1) + 1 + F.least("x.rest", "y.rest")
     met = x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
@@ -268,7 +272,7 @@ def _candidates(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         & ((100 + rule.percent) * most >= rule.percent * (F.col("x.n") + F.col("y.n"))),
     )
     ends = [F.col(f"{side}.{c}").alias(name) for side, c, name in (("x", "node", "a"), ("x", "doc_id", "a_id"), ("y", "node", "b"), ("y", "doc_id", "b_id"))]
-    pairs = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("needed"))
+    pairs = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared"), F.first(needed).alias("needed"))
     return pairs.filter(F.col("shared") >= F.col("needed")).select("a", "a_id", "b", "b_id")
 
 
