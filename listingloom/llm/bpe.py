@@ -1,11 +1,11 @@
 """Byte-pair encoding without merging: one look-up per prefix, and decoding."""
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
