@@ -58,3 +58,46 @@ def test_empty_tables_and_nulls(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert quality.measured(df).count() == len(rows)
     assert quality.accepted(df).columns == ["doc_id", "text"]
+
+
+LENGTHS = [270, 300, 350, 400, 430, 480, 600, 700, 900, 1500, 3000, 6000, 12000, 20000, 100000]
+
+
+def cut(piece, n):
+    text = ""
+    while len(text.encode()) < n:
+        text += piece()
+    return text.encode()[:n].decode(errors="ignore")
+
+
+@pytest.fixture(scope="module")
+def bands_by_kind(spark):
+    """Whether texts lie inside the bands, by kind and bytes."""
+    import base64, random
+    rng = random.Random(11)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", range(16, 0, -1), k=rng.randint(1, 9))) for _ in range(3000)]
+    common = [chr(0x4E00 + 13 * i) for i in range(600)]
+    kinds = {
+        "prose": lambda: rng.choices(words, [1 / (i + 3) for i in range(3000)])[0] + rng.choice("    \n,"),
+        "chinese": lambda: rng.choices(common, [1 / (i + 5) for i in range(600)])[0],
+        "base64 lines": lambda: base64.b64encode(rng.randbytes(57)).decode() + "\n",
+        "base64 words": lambda: base64.b64encode(rng.randbytes(6)).decode() + " ",
+        "printable": lambda: chr(rng.randint(33, 126)) + " " * (rng.random() < 0.12),
+        "ideographs": lambda: chr(rng.randint(0x4E00, 0x9FFF)),
+        "latin-1": lambda: chr(rng.choice([*range(32, 127), *range(160, 256)])),
+        "hex": lambda: rng.randbytes(16).hex() + " ",
+    }
+    rows = [(kind, n, cut(piece, n)) for kind, piece in kinds.items() for n in LENGTHS]
+    df = spark.createDataFrame(rows, "kind string, n int, text string")
+    out = quality.measured(df).select("row.kind", "row.n", "n_chunks", "n_bad_chunks", quality.in_bands().alias("inside")).collect()
+    return {(r.kind, r.n): r for r in out}
+
+
+@pytest.mark.parametrize("n", LENGTHS)
+def test_each_length_band_parts_prose_from_noise(bands_by_kind, n):
+    for kind in ("prose", "chinese", "hex"):  # hex is no denser than short prose; see DOCUMENT_BANDS
+        r = bands_by_kind[kind, n]
+        assert r.inside and r.n_bad_chunks == 0, r
+    for kind in ("base64 lines", "base64 words", "printable", "ideographs", "latin-1"):
+        r = bands_by_kind[kind, n]
+        assert not r.inside and r.n_bad_chunks == r.n_chunks, r
