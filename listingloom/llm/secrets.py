@@ -2,6 +2,7 @@
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -23,14 +24,41 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-_BASE64 = re.compile("[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_KEY = re.compile("(?:[0-9A-Fa-f]{2}){32,}")
+_PEM = re.compile("-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]+)-----END \\1PRIVATE KEY-----")
+_ESCAPE = re.compile(r"(?<!\\)\\+u([0-9A-Fa-f]{4})")
+#: Ends of string literals with what joins them, and line ends, tabs and continuations as source code writes them.
+_JOINED = re.compile(r"""["'`]\s*(?:[+.,&|]\s*)?["'`]""")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+
+#: What may stand between two lines of one value: line ends, real or escaped, with blanks and the quotes of literals.
+_BREAK = r"""(?:["'`]?[\x20\t]*(?:[+.,&|][\x20\t]*)?(?:\r?\n|(?:\\+[rn])+)[\x20\t]*(?:["'`]\s*(?:[+.,&|]\s*)?)?["'`]?)"""
+#: Lines of base64 of either alphabet and of hex; a line of dashes is none. JSON may escape a slash.
+_LINES = tuple(
+    (re.compile(f"{one}+(?:{_BREAK}{stop}{one}+)*"), re.compile(one))
+    for one, stop in ((r"(?:[A-Za-z0-9+]|\\*/)", ""), ("[A-Za-z0-9_-]", "(?!--)"), ("[0-9A-Fa-f]", ""))
+)
+_STANDARD, _URL, _HEX_LINES = _LINES
 
-#: How a DER sequence, the OpenSSH key header and a PEM header begin in base64.
-_BASE64_STARTS = ("M", "b3BlbnNzaC1rZXktdjE", "LS0tLS1CRUdJTi")
+_C, _S = r"(?:[A-Za-z0-9+_-]|\\*/)", "[AEIMQUYcgkosw048]"
+#: How a private key in DER begins in base64: a sequence with a length of up to five bytes, and its version 0 or 1.
+_DER_START = re.compile(
+    f"M(?:[A-H]{_S}CAQ[A-H]|I[E-H]{_C}AgE[AB]|I[I-L]{_C}{{2}}[AQgw]IBA|I[M-P]{_C}{{3}}{_S}CAQ[A-H]|I[Q-T]{_C}{{5}}AgE[AB])"
+)
+_DER_HINTS = ("CAQ", "AgE", "IBA")
+_HEX_START = re.compile("30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})02010[01]|6f70656e7373682d6b65792d763100", re.IGNORECASE)
+_HEX_HINTS = ("02010", "6f70656e7373")
 _OPENSSH = b"openssh-key-v1\x00"
+#: After the last character of a key: padding, the rest of its run, or a character that shows the key does not end here.
+_PADS, _REST, _GOES_ON = re.compile("={0,2}"), re.compile("[A-Za-z0-9+/_-]*={0,2}"), re.compile("[A-Za-z0-9]")
+_HEX_GOES_ON = re.compile("[0-9A-Fa-f]{2}")
+#: How a JSON object begins in base64: a brace, then a quote or white space.
+_OBJECT_START = re.compile("e(?:y[A-DI-L]|w[k-r0-3])")
+_OPENSSH_START = re.compile(f"{_BREAK}?".join("b3BlbnNzaC1rZXktdjE"))
+#: How a PEM header begins in base64 after a multiple of three bytes, one more and two more; what to put before.
+_WRAPPED_STARTS = tuple(
+    (re.compile(f"{_BREAK}?".join(marker)), before)
+    for marker, before in (("LS0tLS1CRUdJTi", ""), ("0tLS0tQkVHSU4g", "AC"), ("tLS0tLUJFR0lOI", "AAA"))
+)
 
 
 def _decoded(text: str) -> bytes:
@@ -81,32 +109,151 @@ def _is_der_key(data: bytes) -> bool:
     return tags in ([0x02] * 9, [0x02] * 6)
 
 
-def _is_openssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: counted strings that fill the data exactly."""
+def _openssh_size(data: bytes) -> int:
+    """The bytes of the OpenSSH private key that `data` begins with: counted strings; 0 if there is none."""
     if not data.startswith(_OPENSSH):
-        return False
+        return 0
     at, strings, keys = len(_OPENSSH), 0, 1
-    while strings < 4 + keys:
+    while strings < 5 + keys:
         if strings == 3:
             keys = int.from_bytes(data[at : at + 4], "big")
             at += 4
             strings += 1
             if not 1 <= keys <= 64:
-                return False
+                return 0
             continue
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         strings += 1
-    if at + 4 > len(data):
-        return False
-    return at + 4 + int.from_bytes(data[at : at + 4], "big") == len(data)
+    return at if at <= len(data) else 0
+
+
+def _is_openssh_key(data: bytes) -> bool:
+    """An OpenSSH private key: counted strings that fill the data exactly."""
+    return _openssh_size(data) == len(data) > 0
+
+
+def _der_size(head: bytes) -> int:
+    """The bytes of the DER value that begins with `head`."""
+    if len(head) < 2 or head[1] < 0x80:
+        return 2 + head[1] if len(head) > 1 else 0
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big")
 
 
 def _is_key(data: bytes) -> bool:
     return _is_der_key(data) or _is_openssh_key(data)
 
 
+def _pems(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the private keys in PEM, also inside string literals: line ends, slashes and other characters
+    may be escaped, and the lines may be literals of their own."""
+    found = []
+    for m in _PEM.finditer(text):
+        body = m[2]
+        if "\\" in body:
+            body = _ESCAPE.sub(lambda e: chr(int(e[1], 16)), body)
+            body = re.sub(r"\\+", "", re.sub(r"(?<!\\)\\+[nrt]", " ", body))
+        body = re.sub(r"""[\s"'`]+""", "", _JOINED.sub("", body))
+        if _is_key(_decoded(body)):
+            found.append((m.start(), m.end()))
+    return found
+
+
+class _Lines:
+    """The characters of a value that goes on over lines, from a start, and their places in the text."""
+
+    def __init__(self, text: str, kind: tuple[re.Pattern, re.Pattern]):
+        self.text, self.kind, self.first, self.last = text, kind, -1, -1
+
+    def move(self, at: int) -> int:
+        """The number in `chars` of the character at a place; -1 if there is none of this kind."""
+        if not self.first <= at < self.last:
+            lines, one = self.kind
+            found = lines.match(self.text, at)
+            if not found:
+                return -1
+            self.first, self.last, self.places = at, found.end(), []
+            parts = []
+            for part in re.finditer(f"{one.pattern}+|{_BREAK}", found[0]):
+                if one.match(part[0]):
+                    for c in one.finditer(part[0]):
+                        parts.append(c[0][-1])
+                        self.places.append(at + part.start() + c.start())
+            self.chars = "".join(parts)
+        number = bisect.bisect_left(self.places, at)
+        return number if number < len(self.places) and self.places[number] == at else -1
+
+    def end(self, number: int) -> int:
+        """The place after the first `number` characters."""
+        return self.kind[1].match(self.text, self.places[number - 1]).end()
+
+
+def _base64_keys(text: str, pems: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Keys and wrapped keys in base64, on one line or on several, wherever in a run they begin."""
+    starts = []
+    if any(hint in text for hint in _DER_HINTS):
+        starts += [(m.start(), 0, "") for m in _DER_START.finditer(text)]
+    starts += [(m.start(), 1, "") for m in _OPENSSH_START.finditer(text)]
+    for pattern, before in _WRAPPED_STARTS:
+        starts += [(m.start(), 2, before) for m in pattern.finditer(text)]
+    found, after, readers = [], 0, (_Lines(text, _STANDARD), _Lines(text, _URL))
+    for at, form, before in sorted(starts):
+        if at < after or any(a <= at < b for a, b in pems):
+            continue
+        for reader in readers:
+            number = reader.move(at)
+            if number < 0:
+                continue
+            if form == 0:
+                size = _der_size(_decoded(reader.chars[number : number + 8]))
+                kind, n = 5, -(-size * 4 // 3)
+                if number + n > len(reader.chars) or not _is_der_key(_decoded(reader.chars[number : number + n])):
+                    continue
+            else:
+                rest = before + reader.chars[number:]
+                data = _decoded(rest[: len(rest) - (len(rest) % 4 == 1)])
+                if form == 1:
+                    size, kind = _openssh_size(data), 5
+                else:
+                    size, kind = max((b for _, b in _pems(data.decode("latin-1"))), default=0), 7
+                n = -(-size * 4 // 3) - len(before)
+                if not size:
+                    continue
+            end = reader.end(number + n)
+            if kind == 7:
+                end = _REST.match(text, end).end()
+            elif _GOES_ON.match(text, end):
+                continue
+            else:
+                end = _PADS.match(text, end).end()
+            found.append((at, end, kind))
+            after = end
+            break
+    return found
+
+
+def _hex_keys(text: str) -> list[tuple[int, int, int]]:
+    """Keys in hex, on one line or on several, wherever in a run they begin."""
+    found, after, reader = [], 0, _Lines(text, _HEX_LINES)
+    for m in _HEX_START.finditer(text):
+        if m.start() < after or (number := reader.move(m.start())) < 0:
+            continue
+        rest = reader.chars[number:]
+        if m[0][0] == "3":
+            size = _der_size(bytes.fromhex(rest[:12])) if len(rest) >= 12 else 0
+        else:
+            size = _openssh_size(bytes.fromhex(rest[: len(rest) // 2 * 2]))
+        if not 0 < 2 * size <= len(rest) or not _is_key(bytes.fromhex(rest[: 2 * size])):
+            continue
+        end = reader.end(number + 2 * size)
+        if not _HEX_GOES_ON.match(text, end):
+            found.append((m.start(), end, 6))
+            after = end
+    return found
+
+
 def _object(part: str) -> dict:
     try:
         value = json.loads(_decoded(part))
@@ -115,9 +262,40 @@ def _object(part: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def _is_token(match: re.Match) -> bool:
-    """A signed token: its header names an algorithm, its claims are an object, its signature is there."""
-    return isinstance(_object(match[1]).get("alg"), str) and bool(_object(match[2])) and bool(_decoded(match[3]))
+def _header(part: str) -> int:
+    """Where in a part the header of a token begins, an object that names an algorithm and ends with the part; or -1."""
+    if isinstance(_object(part).get("alg"), str):
+        return 0
+    read: dict[int, str] = {}
+    decoder = json.JSONDecoder()
+    for m in _OBJECT_START.finditer(part):
+        shift = m.start() % 4
+        if shift not in read:
+            read[shift] = _decoded(part[shift:]).decode("latin-1")
+        at = (m.start() - shift) // 4 * 3
+        try:
+            value, end = decoder.raw_decode(read[shift], at)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(value, dict) and isinstance(value.get("alg"), str) and not read[shift][end:].strip():
+            return m.start()
+    return -1
+
+
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens: of three dotted parts, the first ends with a header that names an algorithm,
+    the second is an object of claims, the third a signature."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        parts, at, skip = m[0].split("."), m.start(), 0
+        for i, part in enumerate(parts):
+            if i >= skip and i + 2 < len(parts) and len(part) >= 12 and _object(parts[i + 1]) and _decoded(parts[i + 2]):
+                begin = _header(part)
+                if begin >= 0:
+                    found.append((at + begin, at + len(part) + len(parts[i + 1]) + len(parts[i + 2]) + 2))
+                    skip = i + 3
+            at += len(part) + 1
+    return found
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -129,23 +307,13 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        found += [(m.start(), m.end(), 3) for m in _PEM.finditer(text) if _is_key(_decoded(re.sub(r"\s+", "", m[2])))]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), 4) for m in _TOKEN.finditer(text) if _is_token(m)]
-    for m in _BASE64.finditer(text):
-        if m[0].startswith(_BASE64_STARTS):
-            data = _decoded(m[0])
-            if _is_key(data):
-                found.append((m.start(), m.end(), 5))
-            elif data.startswith(b"-----BEGIN ") and any(
-                _is_key(_decoded(re.sub(r"\s+", "", p[2]))) for p in _PEM.finditer(data.decode("latin-1"))
-            ):
-                found.append((m.start(), m.end(), 7))
-        if m.end() - m.start() >= 64:
-            for h in _HEX_KEY.finditer(m[0]):
-                if _is_key(bytes.fromhex(h[0])):
-                    found.append((m.start() + h.start(), m.start() + h.end(), 6))
+    pems = _pems(text) if "-----BEGIN " in text else []
+    found += [(a, b, 3) for a, b in pems]
+    if "." in text:
+        found += [(a, b, 4) for a, b in _tokens(text)]
+    found += _base64_keys(text, pems)
+    if any(hint in low for hint in _HEX_HINTS):
+        found += _hex_keys(text)
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
@@ -164,9 +332,11 @@ def scanned(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFr
 
     spans: array of (kind, start, end) by start, then kind as in KINDS; code points, end exclusive. Spans of different
     kinds may overlap. assign, access and hex are patterns. The others are confirmed by structure first:
-    pem: a private key between its lines, whose body is a key; token: a signed token whose header and claims decode;
-    key, hexkey: base64 or hex that decodes to a private key, lengths fitting exactly (DER: PKCS#8, RSA, DSA, SEC 1;
-    OpenSSH); wrapped: base64 of a pem. Public keys, certificates and keys under a passphrase are not reported.
+    pem: a private key between its lines, whose body is a key, also with the escapes and quotes of string literals;
+    token: a signed token whose header and claims decode; key, hexkey: base64 or hex that decodes to a private key,
+    lengths fitting exactly (DER: PKCS#8, RSA, DSA, SEC 1; OpenSSH); wrapped: base64 of text that holds a pem. Base64 and
+    hex may go on over lines, and may begin anywhere in a run; a key inside a pem is not listed again. Public keys,
+    certificates and keys under a passphrase are not reported.
     redacted: the text with each stretch of overlapping spans replaced by `mark`; null if the text is null.
 
     A null text has no spans. No row is lost or merged; other columns pass through whatever their names.

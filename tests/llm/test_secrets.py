@@ -106,3 +106,48 @@ def test_documents_of_the_test_tables(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in queries.op6_secret_scan(spark, "/root/testdata/sf0.001").collect():
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
+
+
+def wrapped(x, width, end="\n"):
+    return end.join(re.findall(f".{{1,{width}}}", x))
+
+
+ESCAPED = json.dumps({"key": pem(PKCS8, "") + "\n"})
+LINES = wrapped(b64(RSA), 64)
+
+
+@pytest.mark.parametrize("text, kind, secret", [
+    (ESCAPED, "pem", ESCAPED[9:-4]),
+    (json.dumps(ESCAPED), "pem", None),
+    (ESCAPED.replace("/", "\\/"), "pem", None),
+    ("k = (" + " +\n  ".join(f'"{x}\\n"' for x in pem(RSA).split("\n")) + ")", "pem", None),
+    ("é\n" + LINES + "\nnext words", "key", LINES),
+    (wrapped(b64(SSH), 76, "\r\n"), "key", wrapped(b64(SSH), 76, "\r\n")),
+    ("x: " + wrapped(b64(PKCS8), 64, "\\n"), "key", wrapped(b64(PKCS8), 64, "\\n")),
+    (wrapped(b64(pem(EC, "EC ").encode()), 76) + "\nnext", "wrapped", wrapped(b64(pem(EC, "EC ").encode()), 76)),
+    (wrapped(b64(b"# of a host\n" + pem(EC, "EC ").encode()), 20), "wrapped", None),
+    (b64(b"=" + pem(EC, "EC ").encode()), "wrapped", None),
+    (b64(b"==" + pem(EC, "EC ").encode()), "wrapped", None),
+    ("cfg/key-" + b64(PKCS8), "key", b64(PKCS8)),
+    ("id_" + url(EC) + "-old", "key", url(EC)),
+    ("key+" + b64(SSH), "key", b64(SSH)),
+    (wrapped(RSA.hex(), 60), "hexkey", wrapped(RSA.hex(), 60)),
+    ("a" + EC.hex(), "hexkey", EC.hex()),
+    ("jwt-" + TOKEN, "token", TOKEN),
+    ("v1." + TOKEN, "token", TOKEN),
+    (url(b'{ "alg": "HS256" }') + "." + TOKEN.split(".", 1)[1], "token", None),
+])
+def test_common_forms_reach_the_structural_test(text, kind, secret):
+    found = [(a, b) for a, b, k in secrets.spans(text) if secrets.KINDS[k] == kind]
+    assert len(found) == 1
+    assert secret is None or text[slice(*found[0])] == secret
+    assert not [k for _, _, k in secrets.spans(text) if secrets.KINDS[k] not in (kind, *secrets.BASE_KINDS)]
+
+
+@pytest.mark.parametrize("text", [
+    wrapped(b64(PUBLIC), 64), wrapped(b64(RSA[:-1]), 64), "cfg/key-" + b64(RSA + b"\0"), json.dumps(pem(PUBLIC, "")),
+    "x." + url(b'{"alg":1}') + ".e30.c2ln", "MIIBVgIBADAN" * 3000, "eyJ" * 20000 + ".e30.c2ln", "b" + " " * 50000, "\\" * 50000,
+    "A" * 200000, ("M" * 76 + "\n") * 500,
+])
+def test_what_is_no_key_is_not_reported(text):
+    assert not [k for _, _, k in secrets.spans(text) if secrets.KINDS[k] not in secrets.BASE_KINDS]
