@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, jaccard, langid, mixing, pfor, quality, repeats, secrets, topk, warc
+from listingloom.llm import bpe, copies, jaccard, langid, mixing, pfor, quality, repeats, secrets, topk, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -89,6 +89,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_top_k": op3_top_k,
@@ -100,5 +104,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_jaccard": op9_jaccard,
     "op10_quality_rules": op10_quality_rules,
+    "op13_copies": op13_copies,
 }
-SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}
+SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op13_copies": copies.ORACLE}
