@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import bpe, copies, jaccard, langid, merkle, mixing, pfor, quality, repeats, secrets, topk, warc
+from listingloom.llm import bpe, codes, copies, jaccard, langid, merkle, mixing, pfor, quality, repeats, secrets, topk, warc
 from listingloom.sources.shared import shared_dir
 
 
@@ -93,6 +93,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.tampered())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op13_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.verdicts(table(spark, sf_dir, "documents"))
 
@@ -109,6 +113,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle": op11_merkle,
+    "op12_vector_codes": op12_vector_codes,
     "op13_copies": op13_copies,
 }
 SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op11_merkle": merkle.oracle(), "op13_copies": copies.ORACLE}
