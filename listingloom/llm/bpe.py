@@ -14,7 +14,7 @@ from listingloom.llm.pieces import Encoder, Layout, byte_letters
 from listingloom.llm.worker import Memo, kept
 
 #: Pairs of tokens whose test a worker remembers.
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 150_000
 
 
 class Suffixes:
@@ -217,17 +217,15 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     get their own id. A null or empty text has no ids. Other columns pass through whatever their names; equal rows
     give equal rows. Runs without a shuffle over whole texts; a worker remembers a bounded number of words.
     """
-    fields = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary(path).encoder
-        for part in t.slices(batches, "text"):
+        for part in t.slices(batches, "text", keeps=("bpe",)):
             ids, counts = encoder.ids(part.column("text"))
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(ids.astype(np.int32)))
-            yield pa.record_batch([part.column("row"), lists], names=["row", "ids"])
+            yield pa.record_batch([*(part.column(c) for c in ("rest", "known", "text")), lists], names=["rest", "known", "text", "ids"])
 
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return packed.mapInArrow(run, f"row struct<{fields}>, ids array<int>")
+    return t.packed(df, text).mapInArrow(run, f"{t.packed_schema(df, text)}, ids array<int>").select(t.unpacked(df, text), "ids")
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -254,7 +252,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for part in t.slices(batches, "text"):
+        for part in t.slices(batches, "text", keeps=("bpe",)):
             ids, counts = words.encoder.ids(part.column("text"))
             raw, ends = memoryview(np.ascontiguousarray(ids).tobytes()), 4 * np.cumsum(counts)
             names, starts = t.as_bytes(words.decode(ids, counts))

@@ -236,7 +236,7 @@ def identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Runs without a shuffle over whole texts; a task holds about 16 MB of texts, or a single longer text.
     """
-    fields = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema)
+    sent = ["rest", "known", "text"]
     span = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             n = part.num_rows
             if not model.langs:
                 none = pa.array([[]] * n, pa.list_(span))
-                yield pa.record_batch([part.column("row"), none, pa.array(["und"] * n), pa.array([0.0] * n)], names=["row", "spans", "lang_pred", "score"])
+                yield pa.record_batch([*(part.column(c) for c in sent), none, pa.array(["und"] * n), pa.array([0.0] * n)], names=[*sent, "spans", "lang_pred", "score"])
                 continue
             words, path, lettered = _labels(part.column("text"), model)
             doc = np.repeat(np.arange(n), np.diff(words.first))
@@ -266,8 +266,8 @@ def identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             offsets = np.searchsorted(span_doc, np.arange(n + 1)).astype(np.int32)
             lang = pc.if_else(pa.array(total > 0), names.take(pa.array(chosen)), "und")
             yield pa.record_batch([
-                part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), values), lang, pa.array(share, pa.float64()),
-            ], names=["row", "spans", "lang_pred", "score"])
+                *(part.column(c) for c in sent), pa.ListArray.from_arrays(pa.array(offsets), values), lang, pa.array(share, pa.float64()),
+            ], names=[*sent, "spans", "lang_pred", "score"])
 
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return packed.mapInArrow(run, f"row struct<{fields}>, spans array<struct<lang:string,first:int,words:int>>, lang_pred string, score double")
+    found = t.packed(df, text).mapInArrow(run, f"{t.packed_schema(df, text)}, spans array<struct<lang:string,first:int,words:int>>, lang_pred string, score double")
+    return found.select(t.unpacked(df, text), "spans", "lang_pred", "score")

@@ -103,7 +103,7 @@ class _Writer(DataSourceArrowWriter):
                 yield batch.column("doc_id"), np.frombuffer(raw, dtype="<u4"), np.diff(starts) // 4
             return
         library = kept(("library", self.tokenizer), lambda: Library(self.tokenizer))
-        for part in t.slices(iterator, "text"):
+        for part in t.slices(iterator, "text", keeps=("library",)):
             ids, counts = library.ids(part.column("text"))
             if self.end is not None:
                 ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(self.end)), counts + 1

@@ -130,7 +130,7 @@ def measured(df: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataF
     columns pass through whatever their names. Words, lines and windows are compared by 64-bit hashes per text.
     Runs without a shuffle; a task holds about 4 MB of texts, or a single longer text.
     """
-    schema = f"row struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in df.schema)}>, {_MEASURES}"
+    schema = f"{t.packed_schema(df, text)}, {_MEASURES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in t.slices(batches, "text"):
@@ -139,10 +139,10 @@ def measured(df: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataF
             share = pa.array(found.pop("whole_share"), from_pandas=True)
             columns = {k: pa.array(v, pa.int64()) for k, v in found.items()} | {"whole_share": share}
             names = [c.split()[0] for c in _MEASURES.split(", ")]
-            yield pa.record_batch([part.column("row"), *(columns[c] for c in names)], names=["row", *names])
+            yield pa.record_batch([*(part.column(c) for c in ("rest", "known", "text")), *(columns[c] for c in names)], names=["rest", "known", "text", *names])
 
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return packed.mapInArrow(run, schema)
+    measures = [c.split()[0] for c in _MEASURES.split(", ")]
+    return t.packed(df, text).mapInArrow(run, schema).select(t.unpacked(df, text), *measures)
 
 
 def in_bands(bands: Bands = Bands()) -> F.Column:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingloom.llm import bpe, codes, copies, jaccard, langid, merkle, mixing, pfor, quality, repeats, secrets, topk, warc
+from listingloom.llm import texts as t
 from listingloom.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    t.bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

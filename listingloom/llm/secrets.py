@@ -342,23 +342,22 @@ def scanned(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFr
     A null text has no spans. No row is lost or merged; other columns pass through whatever their names.
     Runs without a shuffle over whole texts.
     """
-    fields = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema)
-    schema = f"row struct<{fields}>, spans array<struct<kind:string,start:int,end:int>>, redacted string"
+    schema = f"{t.packed_schema(df, text)}, spans array<struct<kind:string,start:int,end:int>>, redacted string"
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in t.slices(batches, "text"):
             whole = part.column("text").to_pylist()
             found = [spans(x) for x in whole]
-            hidden = [covered(x, s, mark) if s else x for x, s in zip(whole, found, strict=True)]
+            hidden = [covered(x, s, mark) if s else None for x, s in zip(whole, found, strict=True)]
             listed = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in s] for s in found]
             yield pa.record_batch(
-                [part.column("row"), pa.array(listed, span_type), pa.array(hidden, pa.string())], names=["row", "spans", "redacted"]
+                [*(part.column(c) for c in ("rest", "known", "text")), pa.array(listed, span_type), pa.array(hidden, pa.string())],
+                names=["rest", "known", "text", "spans", "redacted"],
             )
 
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    known = F.col(f"row.`{text}`").isNotNull()
-    return packed.mapInArrow(run, schema).withColumn("redacted", F.when(known, F.col("redacted")))
+    found = t.packed(df, text).mapInArrow(run, schema)
+    return found.select(t.unpacked(df, text), "spans", F.when(F.col("known"), F.coalesce("redacted", "text")).alias("redacted"))
 
 
 def of_kinds(spans_column: F.Column, *kinds: str) -> F.Column:

@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from listingloom.llm.worker import kept
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listingloom.llm.worker import kept, released
 
 #: Texts handled at once, in bytes; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -20,8 +23,38 @@ BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces whose texts have about `limit` bytes at most, in order; a null text becomes an empty one."""
+def bounded(spark: SparkSession) -> None:
+    """Batches that workers are sent have 8 MB at most from now on in this session, or one row, unless it was started with
+    a bound of its own: 10,000 long texts would be a batch otherwise."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(bound):
+        spark.conf.set(bound, str(8 << 20))
+
+
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """rest (a struct of the other columns, by position), known, text: what a worker is sent, each text once."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    return df.select(F.struct(F.lit(0).alias("none"), *rest).alias("rest"), F.col(f"`{text}`").isNotNull().alias("known"), F.col(f"`{text}`").alias("text"))
+
+
+def unpacked(df: DataFrame, text: str) -> F.Column:
+    """The struct `row` with the columns of `df`, from what packed() made of them."""
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    whole = F.when(F.col("known"), F.col("text"))
+    return F.struct(*((whole if c == text else F.col("rest")[place[c]]).alias(c) for c in df.columns)).alias("row")
+
+
+def packed_schema(df: DataFrame, text: str) -> str:
+    sent = packed(df, text).schema
+    return f"rest {sent['rest'].dataType.simpleString()}, known boolean, text {sent['text'].dataType.simpleString()}"
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keeps: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces whose texts have about `limit` bytes at most, in order; a null text becomes an empty one.
+
+    The worker first gives up what earlier stages kept in it, apart from `keeps`.
+    """
+    released("powers", "letters", *keeps)
     for batch in batches:
         at = batch.schema.get_field_index(column)
         texts = batch.column(at)

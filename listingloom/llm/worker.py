@@ -1,21 +1,47 @@
 """Objects that a Python worker builds once and keeps for its later tasks."""
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _HOME = "listingloom_llm_worker"
 
 
-def kept(key: object, make: Callable[[], object]) -> object:
-    """The object under this key, made on first use. Worker code travels by value, so plain globals would not outlive a task."""
+def _home() -> types.ModuleType:
     home = sys.modules.get(_HOME)
     if home is None:
         home = sys.modules[_HOME] = types.ModuleType(_HOME)
         home.objects = {}
-    if key not in home.objects:
-        home.objects[key] = make()
-    return home.objects[key]
+    return home
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """The object under this key, made on first use. Worker code travels by value, so plain globals would not outlive a task."""
+    objects = _home().objects
+    if key not in objects:
+        objects[key] = make()
+    return objects[key]
+
+
+def released(*names: str) -> None:
+    """Gives up what is kept under other names than these, and returns free memory to the system.
+
+    Workers outlive a stage. Called at the start of a task, so that a stage does not also hold what an earlier one kept.
+    """
+    objects = _home().objects
+    gone = [k for k in objects if (k[0] if isinstance(k, tuple) else k) not in names]
+    for k in gone:
+        del objects[k]
+    if gone:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Memo(dict):
