@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from listingloom.llm import bpe, jaccard, mixing, quality, secrets
 from listingloom.llm.queries import tokenizer_path
+from listingloom.llm.texts import bounded
 from listingloom.sources.shared import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands; the others go, so do null and empty texts."""
+    bounded(spark)
     return quality.accepted(docs)
 
 
@@ -27,14 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id stay, as they link with nothing. Rows that share an id stay or go together, equal texts
     among them once.
     """
+    bounded(spark)
     found = jaccard.near_duplicates(docs, jaccard.Rule(words=5, percent=80))
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return named.select([f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [SECRET] in place of every secret, and n_chars of what the text is then."""
+    bounded(spark)
     found = secrets.scanned(docs)
     now = {"text": F.col("redacted").alias("text"), "n_chars": F.length("redacted").cast("long").alias("n_chars")}
     return found.select(*(now.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
@@ -46,9 +50,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, beside its other columns."""
+    """Token ids of every document, beside its other columns; columns named n_tokens or ids give way to the new ones."""
+    bounded(spark)
     found = bpe.encoded(docs, tokenizer_path())
-    others = [F.col(f"row.`{c}`") for c in docs.columns if c != "text"]
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "ids")]
     return found.select(*others, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
