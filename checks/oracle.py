@@ -306,6 +306,22 @@ FILTER_COLUMNS = f"""
 DOC_LINES = f"(select doc_id, {reviews_of('text')} as lines from documents)"
 NAMES = "(select distinct unnest([lang, source]) as value from documents)"
 
+def centres(count: int, rounds: int, sample: int) -> str:
+    """The tables point and centre_0 to centre_<rounds>: whole components, and rounds of floored means over the first vectors."""
+    tables = [f"""point as (select vec_id, list_transform(embedding, lambda x: floor(cast(x as double) * 4096)) as p from embeddings where embedding is not null),
+      sample as (select * from point order by vec_id limit {sample}),
+      centre_0 as (select row_number() over (order by vec_id) - 1 as k, p as c from sample order by vec_id limit {count})"""]
+    for r in range(rounds):
+        tables.append(f"""own_{r} as (
+        select vec_id, p, k from sample, centre_{r}
+        qualify row_number() over (partition by vec_id order by list_dot_product(c, c) - 2 * list_dot_product(p, c), k) = 1),
+      mean_{r} as (
+        select k, list(x order by i) as m from (
+          select k, i, floor(sum(x) / count(*)) as x from (select k, unnest(p) as x, generate_subscripts(p, 1) as i from own_{r}) group by k, i) group by k),
+      centre_{r + 1} as (select k, coalesce(m, c) as c from centre_{r} left join mean_{r} using (k))""")
+    return ",\n      ".join(tables)
+
+
 SQL = {
     "parse_fields": """
       select address, category, rating, price, vote_count as votes, online_order = 'Yes' as online_order,
@@ -375,19 +391,17 @@ SQL = {
           select q.vec_id as question_id, c.vec_id as chunk_id,
             round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as similarity
           from embeddings q cross join embeddings c)) where position <= 5""",
-    "lsh_topk": """
-      with side as (
-        select vec_id, b, round(list_sum(list_transform(embedding, lambda x, i: cast(x as double)
-          * case when (b * 64 + i) * 2654435761 % 4294967296 >= 2147483648 then 1 else -1 end)), 6) >= 0 as up
-        from embeddings cross join (select unnest(range(4)) as b)),
-      celled as (
-        select vec_id, any_value(embedding) as embedding, cast(sum(case when up then 1 << b else 0 end) as integer) as cell
-        from side join embeddings using (vec_id) group by vec_id)
+    "lsh_topk": f"""
+      with {centres(128, 3, 16384)}, close as (
+        select vec_id, k, row_number() over (partition by vec_id order by list_dot_product(c, c) - 2 * list_dot_product(p, c), k) as near
+        from point, centre_3),
+      home as (select vec_id, k from close where near = 1)
       select question_id, chunk_id, similarity, cast(position as integer) as position from (
         select *, row_number() over (partition by question_id order by similarity desc, chunk_id) as position from (
           select q.vec_id as question_id, c.vec_id as chunk_id,
             round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as similarity
-          from celled q join celled c on bit_count(xor(q.cell, c.cell)) <= 1)) where position <= 5""",
+          from close r join embeddings q using (vec_id) join home on home.k = r.k join embeddings c on c.vec_id = home.vec_id
+          where r.near <= 49)) where position <= 5""",
     "phrase_tokens": r"""
       select kind, value, phrase, arg_min(token, {'n': n, 'size': -length(token), 'token': token}) as token from (
         select *, count(*) over (partition by token) as n from (

@@ -352,11 +352,11 @@ def list_answers(spark, sf):
 
 @query
 def lsh_topk(spark, sf):
-    """The five nearest vectors of every vector among those in the same or a neighbouring cell."""
+    """The five nearest vectors of every vector among those in the 49 of 128 cells whose centres are nearest to it."""
     rows = table(spark, sf, "embeddings").withColumnsRenamed({"vec_id": "chunk_id"})
-    cells = build_cell_table(rows, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", 64, bits=4)
+    cells, centres = build_cell_table(rows, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", cells=128)
     asked = rows.select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"), F.lit(5).alias("pool"))
-    return approximate_top_hits(asked, cells, 64, bits=4, radius=1)
+    return approximate_top_hits(asked, cells, centres, probes=49)
 
 
 @query

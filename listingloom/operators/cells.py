@@ -1,58 +1,25 @@
-"""Approximate top-n: vectors in cells, and a search of the cells around a question.
+"""Approximate top-n: vectors in cells around trained centres, and a search of the cells nearest to a question.
 
-A cell is the side of each of a few fixed hyperplanes a vector lies on. Vectors close in angle
-mostly share a cell or differ in few sides. The stored table is laid out by cell, so a search reads
-the row groups of the probed cells only, and ranks what it finds exactly.
+The stored table is laid out by cell, so a search reads the row groups of the probed cells only, and ranks what it finds
+exactly. More probes find more of the true neighbours and score more rows.
 """
 
-from itertools import combinations
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from listingloom.operators.nearest import DECIMALS, top_hits
-
-
-def planes(dims: int, bits: int) -> np.ndarray:
-    """Normals with entries 1 or -1, mixed from their position so that every run has the same."""
-    position = np.arange(1, dims * bits + 1, dtype=np.int64).reshape(bits, dims)
-    return np.where(position * 2654435761 % 2**32 >= 2**31, 1.0, -1.0)
-
-
-def cell(vector: Column, dims: int, bits: int) -> Column:
-    """The cell of a vector, one bit per hyperplane."""
-    normals = planes(dims, bits).T
-
-    @F.pandas_udf(T.IntegerType())
-    def of(vectors: pd.Series) -> pd.Series:
-        known = vectors.notna()
-        cells = pd.Series(np.nan, index=vectors.index)
-        if known.any():
-            sides = np.round(np.stack(vectors[known].to_numpy()).astype(float) @ normals, DECIMALS) >= 0
-            cells[known] = sides @ (1 << np.arange(bits))
-        return cells.astype("Int32")
-
-    return of(vector)
-
+from pyspark.sql import DataFrame, functions as F
 
-def probes(cell_of_question: Column, bits: int, radius: int) -> Column:
-    """The cell itself and all that differ from it in at most radius bits."""
-    flips = [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(bits), r)]
-    return F.transform(F.array(*map(F.lit, flips)), lambda flip: flip.bitwiseXOR(cell_of_question))
+from listingloom.operators.centres import nearest_centres, trained
+from listingloom.operators.nearest import top_hits
 
 
-def build_cell_table(vectors: DataFrame, path: str, dims: int, bits: int) -> DataFrame:
-    """A copy of a stored vector table laid out by cell. A crowded cell spreads over files by chunk id."""
-    celled = vectors.withColumn("cell", cell(F.col("embedding"), dims, bits))
+def build_cell_table(vectors: DataFrame, path: str, cells: int) -> tuple[DataFrame, np.ndarray]:
+    """A copy of a stored vector table laid out by cell, and the centres. A crowded cell spreads over files by chunk id."""
+    centres = trained(vectors, "chunk_id", "embedding", cells)
+    celled = vectors.withColumn("cell", nearest_centres(F.col("embedding"), centres, 1)[0])
     laid_out = celled.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id")
     laid_out.write.mode("overwrite").parquet(path)
-    return vectors.sparkSession.read.parquet(path)
+    return vectors.sparkSession.read.parquet(path), centres
 
 
-def approximate_top_hits(
-    questions: DataFrame, cells: DataFrame, dims: int, bits: int, radius: int = 1, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """top_hits over the cells within the radius of each question's own."""
-    located = questions.withColumn("cell", cell(F.col("vector"), dims, bits))
-    return top_hits(located.withColumn("cells", probes(F.col("cell"), bits, radius)), cells, carry)
+def approximate_top_hits(questions: DataFrame, cells: DataFrame, centres: np.ndarray, probes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """top_hits over the cells of the `probes` centres nearest to each question."""
+    return top_hits(questions.withColumn("cells", nearest_centres(F.col("vector"), centres, probes)), cells, carry)

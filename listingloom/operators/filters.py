@@ -3,6 +3,9 @@
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listingloom import fixed
@@ -14,12 +17,82 @@ LISTS = ["tags", "areas"]
 SCALARS = ["max_price", "min_rating"]
 FLAGS = ["pure_veg", "online_order", "book_table"]
 
-# What the filters ask of a row. The tests take Columns or arrays alike, so that catalogue and search agree by construction.
-NUMBER_TESTS = {
-    "max_price": ("price", lambda price, limit: (price >= 0) & (price <= limit)),
-    "min_rating": ("rating", lambda rating, least: rating >= least),
+
+
+class Number:
+    """A limit on a number. Unknown numbers pass none. `best` is the value of a block that passes if any does."""
+
+    def __init__(self, column: str, test, best):
+        self.column, self._test, self._best = column, test, best
+
+    def condition(self, value) -> Column:
+        return self._test(F.col(self.column), value)
+
+    def mask(self, rows: pa.Table, value) -> np.ndarray:
+        numbers = rows[self.column]
+        if pa.types.is_integer(numbers.type):
+            return self._test(numbers.cast(pa.int64()).fill_null(-1).to_numpy(), value)
+        return self._test(numbers.cast(pa.float64()).to_numpy(zero_copy_only=False), value)
+
+    def best(self) -> Column:
+        return self._best(F.col(self.column))
+
+
+class Flag:
+    """A flag that has to be set."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def condition(self, value) -> Column:
+        return F.col(self.column)
+
+    def mask(self, rows: pa.Table, value) -> np.ndarray:
+        return rows[self.column].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+
+    def best(self) -> Column:
+        return F.max(self.column)
+
+
+class AnyOf:
+    """Some of a row's values, or its only one, have to be among those asked for."""
+
+    def __init__(self, column: str, nested: bool):
+        self.column, self.nested = column, nested
+
+    def condition(self, values: list) -> Column:
+        return F.arrays_overlap(self.column, F.array(*map(F.lit, values))) if self.nested else F.col(self.column).isin(list(values))
+
+    def mask(self, rows: pa.Table, values: list) -> np.ndarray:
+        column = rows[self.column].combine_chunks()
+        nested = pa.types.is_list(column.type)  # a block's index holds lists where its rows hold single values
+        flat = pc.list_flatten(column) if nested else column
+        found = pc.fill_null(pc.is_in(flat, pa.array(list(values), flat.type)), False).to_numpy(zero_copy_only=False)
+        if not nested:
+            return found
+        passing = np.zeros(len(column), dtype=bool)
+        passing[pc.list_parent_indices(column).to_numpy()[found]] = True
+        return passing
+
+    def best(self) -> Column:
+        values = F.collect_set(self.column)
+        return F.array_distinct(F.flatten(values)) if self.nested else values
+
+
+# What each filter asks of a row: of columns in a plan, of Arrow rows in a search, and of the best values of a block.
+TESTS = {
+    "tags": AnyOf("tags", nested=True),
+    "areas": AnyOf("area", nested=False),
+    "cells": AnyOf("cell", nested=False),
+    "max_price": Number("price", lambda price, limit: (price >= 0) & (price <= limit), lambda price: F.min(F.when(price >= 0, price))),
+    "min_rating": Number("rating", lambda rating, least: rating >= least, lambda rating: F.max(F.when(~F.isnan(rating), rating))),
+    **{name: Flag(name) for name in FLAGS},
 }
-LIST_TESTS = {"tags": "tags", "areas": "area", "cells": "cell"}
+
+
+def is_set(name: str, value) -> bool:
+    """Whether a filter asks for anything: a number does if it is known, a list or flag if it is not empty or false."""
+    return value is not None if name in SCALARS else bool(value)
 
 
 @dataclass
@@ -41,15 +114,8 @@ def to_predicate(filters: Filters) -> Column | None:
 
     Unknown prices and ratings are null, which no comparison accepts.
     """
-    conditions = []
-    if filters.tags:
-        conditions.append(F.arrays_overlap("tags", F.array(*map(F.lit, filters.tags))))
-    if filters.areas:
-        conditions.append(F.col("area").isin(filters.areas))
-    for name, (column, test) in NUMBER_TESTS.items():
-        if getattr(filters, name) is not None:
-            conditions.append(test(F.col(column), getattr(filters, name)))
-    conditions += [F.col(flag) for flag in FLAGS if getattr(filters, flag)]
+    values = {name: getattr(filters, name, None) for name in TESTS}
+    conditions = [TESTS[name].condition(value) for name, value in values.items() if is_set(name, value)]
     return reduce(Column.__and__, conditions) if conditions else None
 
 
