@@ -9,7 +9,7 @@ from listingloom.functions.vectors import HashedTokens
 from listingloom.operators.entities import clean
 from listingloom.plans.ingest import ingest
 from listingloom.plans.retrieve import Catalogue
-from listingloom.sources.shared import shared_dir, spread
+from listingloom.sources.shared import shared_dir, spread, written
 
 ENCODER = HashedTokens(64)
 
@@ -49,31 +49,40 @@ join {region} on r_regionkey = n_regionkey
 left join {documents} d on d.doc_id = p.p_partkey
 """
 
-# One question per customer, in 15 wordings; the last one is blank.
-QUESTION = """
-select c_custkey as question_id, case c_custkey % 15
-  when 0 then p_name || 's in ' || region || ' under ' || case when c_custkey % 30 = 0 then '5000000000000000000' else price end
-  when 1 then 'Find highly rated ' || p_name || 's'
-  when 2 then 'best ' || p_name || ' below Rs. ' || '1,' || substr(cast(1000 + c_custkey % 900 as string), 2) || ' for two'
-  when 3 then 'cheap ' || noun || 's in ' || region || ' ' || place || 'th block'
-  when 4 then 'my budget is ' || price || ' with home delivery'
-  when 5 then 'rated above 3.' || cast(c_custkey % 10 as string) || ' and table booking'
-  when 6 then 'non-' || adjective || ' ' || noun || ' ' || price || ' or less'
-  when 7 then '4.5 stars ' || noun || ' in ' || region || ' or america 1th block'
-  when 8 then 'budget 20 ' || noun || 's'
-  when 9 then 'anything good for families, service in ' || lower(n_name)
-  when 10 then 'rated 45 ' || noun || ' max ' || price
-  when 11 then 'under 5 minutes, at most ' || price || ' small ' || noun
-  when 12 then 'old ' || noun || ' for 100 in antarctica'
-  when 13 then 'pure veg ' || noun || ' order online' || case when c_custkey % 2 = 0 then ' non veg' else '' end
-  else '  ' end as text
+def _cases(key: str, forms: list[str]) -> str:
+    """One of the forms by the remainder of a key, which runs over more values than there are forms: else nothing."""
+    return f"case {key} " + " ".join(f"when {i} then {form}" for i, form in enumerate(forms)) + " else '' end"
+
+
+_AMOUNT = "case c_custkey % 4 when 1 then 'rs. ' when 2 then '₹' when 3 then 'inr ' else '' end || price"
+_PRICES = [
+    *(f"'{word} ' || {_AMOUNT}" for word in fixed.PRICE_BEFORE), *(f"price || ' {word}'" for word in fixed.PRICE_AFTER),
+    *(f"'{word}'" for word in fixed.CHEAP_FRAGMENTS), "'budget ' || price", "'max ' || small", "small || ' or less, upto ' || price",
+]
+_RATINGS = ["'rated ' || small", "small || ' stars'", "'rating 3.' || digit", "'stars of over 3.' || digit", "'rated 4' || digit", "'top'", "'well-rated'", "'bestow'"]
+_FLAGS = ["'veg'", "'non-veg'", "'pure-vegetarian'", "'delivers'", "'delivered'", "'reserve'", "'book a table, home delivery'"]
+_TAGS = ["p_name || 's'", "p_name", "noun", "adjective || ' ' || noun || 's'", "adjective || noun"]
+_AREAS = ["region", "region || ' ' || place || 'th block'", "region || ' or america 1th block'", "'in' || region"]
+
+# One question per customer: a part of each kind or none, by remainders of its key, in three orders; every 19th is blank.
+QUESTION = f"""
+select c_custkey as question_id, case when c_custkey % 19 = 0 then '  ' else case c_custkey % 3
+  when 0 then 'q ' || tag || ' ' || area || ' ' || cost || ' ' || stars || ' ' || flag
+  when 1 then cost || ', ' || flag || ' q, ' || tag || ', ' || stars || ', ' || area
+  else stars || ' q ' || area || ' - ' || tag || ' - ' || flag || ' ' || cost end end as text
 from (
-  select *, substr(p_name, 1, instr(p_name, ' ') - 1) as adjective, substr(p_name, instr(p_name, ' ') + 1) as noun,
-    lower(r_name) as region, cast(n_nationkey as string) as place, cast(100 + (c_custkey % 29) * 50 as string) as price
-  from {customer}
-  join {part} on p_partkey = c_custkey
-  join {nation} on n_nationkey = c_nationkey
-  join {region} on r_regionkey = n_regionkey
+  select c_custkey, {_cases("c_custkey % 7", _TAGS)} as tag, {_cases("c_custkey % 11", _AREAS)} as area, {_cases(f"c_custkey % {len(_PRICES) + 8}", _PRICES)} as cost,
+    {_cases("c_custkey % 23", _RATINGS)} as stars, {_cases("c_custkey % 29", _FLAGS)} as flag
+  from (
+    select c_custkey, p_name, substr(p_name, 1, instr(p_name, ' ') - 1) as adjective, substr(p_name, instr(p_name, ' ') + 1) as noun,
+      lower(r_name) as region, cast(n_nationkey as string) as place, cast(c_custkey % 10 as string) as digit, cast(c_custkey % 61 as string) as small,
+      case when c_custkey % 211 = 0 then '5000000000000000000' when c_custkey % 13 = 0 then '1,' || substr(cast(1000 + c_custkey % 900 as string), 2)
+        else cast(100 + (c_custkey % 31) * 50 as string) end as price
+    from {{customer}}
+    join {{part}} on p_partkey = c_custkey
+    join {{nation}} on n_nationkey = c_nationkey
+    join {{region}} on r_regionkey = n_regionkey
+  ) k
 ) q
 """
 
@@ -129,7 +138,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, QUESTION, "customer", "part", "nation", "region")
+    return written(_run(spark, sf_dir, QUESTION, "customer", "part", "nation", "region"), "asked")  # else every rule repeats the making of the text
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Parsing and text functions, value by value."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from listingloom import fixed
 from listingloom.functions import parse, reviews, text, vectors
+from tests import rows
 
 
 def values(spark, cases, function, schema="string"):
-    rows = spark.createDataFrame([(i, case) for i, case in enumerate(cases)], f"i int, x {schema}")
-    return [row[1] for row in rows.select("i", function(F.col("x"))).orderBy("i").collect()]
+    frame = spark.createDataFrame([(i, case) for i, case in enumerate(cases)], f"i int, x {schema}")
+    return [row[1] for row in frame.select("i", function(F.col("x"))).orderBy("i").collect()]
 
 
 def check(spark, cases, function, schema="string"):
@@ -16,12 +21,19 @@ def check(spark, cases, function, schema="string"):
 
 
 def test_rating(spark):
-    check(spark, {"2.7/5": 2.7, "3.3 /5": 3.3, " 4 / 5 ": 4.0, "9/5": 9.0, "TBD": None, "--": None, None: None, "2.7": None,
-                  "2.7/50": None, "x2.7/5": None}, parse.rating)
+    """n/5 with any white space, and nothing else."""
+    rng = random.Random(1)
+    numbers = [str(rng.randrange(12)) for _ in range(6)] + [f"{rng.randrange(12)}.{rng.randrange(99)}" for _ in range(12)]
+    check(spark, {f"{rng.choice(['', ' '])}{n}{rng.choice(['', ' ', chr(9)])}/{rng.choice(['', ' '])}5{rng.choice(['', ' '])}": float(n) for n in numbers}, parse.rating)
+    check(spark, {case: None for case in [*(f"{n}/50" for n in numbers), *(f"x{n}/5" for n in numbers), *numbers, "", "--", None]}, parse.rating)
 
 
 def test_price(spark):
-    check(spark, {"650": 650, "12,340": 12340, " 7 ": 7, None: None, "free": None, "800.0": None, "-5": None, "": None}, parse.price)
+    """Digits with commas anywhere, and nothing else."""
+    rng = random.Random(2)
+    numbers = [rng.randrange(10**k) for k in range(1, 9) for _ in range(2)]
+    check(spark, {f" {n:,} ": n for n in numbers} | {str(n): n for n in numbers} | {f"{n},": n for n in numbers}, parse.price)
+    check(spark, {case: None for case in [*(f"{n}.0" for n in numbers), *(f"-{n}" for n in numbers), *(f"{n} x" for n in numbers), "", None]}, parse.price)
 
 
 def test_votes(spark):
@@ -30,7 +42,7 @@ def test_votes(spark):
 
 def test_fix_text(spark):
     check(spark, {
-        "BÃ¤ckerei  am\n See": "Bäckerei am See",
+        **{word.encode().decode("latin-1") + "  \n x ": f"{word} x" for word in ("zöß", "ñandù çà", "ÿ")},
         "  a  b\u0085c \x1c d ": "a b c d",
         "Ã but 漢": "Ã but 漢",  # not Latin-1
         "Ã©a â": "Ã©a â",  # not UTF-8 bytes
@@ -39,7 +51,10 @@ def test_fix_text(spark):
 
 
 def test_split_list(spark):
-    check(spark, {"North Indian, Chinese": ["North Indian", "Chinese"], "b, a ,b,, ": ["b", "a"], None: [], "": []}, text.split_list)
+    rng = random.Random(3)
+    lists = [[rows.word(rng) + rng.choice(["", " q"]) for _ in range(rng.randrange(5))] for _ in range(20)]
+    check(spark, {rng.choice([",", " ,", ", "]).join(x) + rng.choice(["", ",", " , "]): x for x in lists}, text.split_list)
+    check(spark, {"b, a ,b,, ": ["b", "a"], None: []}, text.split_list)
 
 
 def test_truncate(spark):
@@ -50,12 +65,14 @@ def test_truncate(spark):
 def test_entity_id_is_the_md5_of_name_and_address(spark):
     import hashlib
 
-    expected = hashlib.md5("Café|1 Quay".encode()).hexdigest()[:16]
-    assert values(spark, ["Café"], lambda c: text.entity_id(c, F.lit("1 Quay"))) == [expected]
+    names = [rows.word(random.Random(i)) for i in range(9)]
+    expected = [hashlib.md5(f"{n}|é 1".encode()).hexdigest()[:16] for n in names]
+    assert values(spark, names, lambda c: text.entity_id(c, F.lit("é 1"))) == expected
 
 
 def test_base_area(spark):
-    check(spark, {"Old Town 5th Block": "Old Town", "JP Nagar": "JP Nagar", "5th Block": "5th Block", "A 1 B 2": "A"}, text.base_area)
+    areas = rows.vocabulary(random.Random(4))[1]
+    check(spark, {a: re.sub(r"\s+\d.*$", "", a) for a in areas} | {"7x y": "7x y", "A 1 B 2": "A", "B2": "B2"}, text.base_area)
 
 
 def test_url_yes_and_numbers(spark):
@@ -66,12 +83,13 @@ def test_url_yes_and_numbers(spark):
 
 
 def test_parse_reviews(spark):
-    good = "[('Rated 3.5', 'RATED\\n  The soup was hot and the bread still warm from the oven.'), ('Rated 2.0', 'RATED\\n  meh')]"
-    twice = repr([["a", "The same long review text, repeated."], ("b", "The same long review text, repeated.")])
+    rng = random.Random(5)
+    said = [" ".join(rows.word(rng) for _ in range(rng.choice([1, 5, 12]))) for _ in range(40)]
+    cells = {repr([(rows.word(rng), rng.choice(["", "RATED\n  "]) + s) for s in part]): [s for s in dict.fromkeys(part) if len(s) >= 30]
+             for part in (rng.choices(said, k=rng.randrange(6)) for _ in range(30))}
+    check(spark, cells, reviews.parse_reviews)
     odd = "[1, 'text', ('only one',), (None, 'RATED A label may be missing here, fine.'), ('n', 12345678901234567890123456789012)]"
     check(spark, {
-        good: ["The soup was hot and the bread still warm from the oven."],
-        twice: ["The same long review text, repeated."],
         odd: ["A label may be missing here, fine.", "12345678901234567890123456789012"],
         "plain words": [], "[(cut off": [], "[]": [], None: [], "[('a', 'b'": [], "[{[]: 1}]": [], "(('a', 'b'),)": [],
     }, reviews.parse_reviews)
@@ -83,17 +101,21 @@ def test_parse_reviews_keeps_escapes_and_lone_surrogates(spark):
 
 
 def test_excerpts_put_topics_first_and_keep_source_order(spark):
-    texts = ["nothing one", "good for kids", "nothing two", "FAMILY place", "ékids nothing", "value!", "x1", "x2"]
-    assert values(spark, [texts], reviews.excerpts, "array<string>") == [
-        ["good for kids", "FAMILY place", "value!", "nothing one", "nothing two", "ékids nothing"]]
+    rng = random.Random(6)
+    texts = [f"{rows.word(rng, 2)} {rng.choice([t.upper(), t, t + 'z', 'é' + t])} {i}" for i, t in enumerate(rng.choices(fixed.REVIEW_TOPICS, k=12))]
+    topical = [t for t in texts if t.split()[1].lower() in fixed.REVIEW_TOPICS]
+    assert 0 < len(topical) < len(texts)
+    assert values(spark, [texts], reviews.excerpts, "array<string>") == [(topical + [t for t in texts if t not in topical])[:6]]
 
 
 def test_pure_veg(spark):
-    rows = spark.createDataFrame([
-        ("Green Pure Veg", []), ("Non-Veg and Veg", []), ("Vegas", []), ("Plain", ["a pure-veg kitchen"]),
-        ("Plain", ["impure veg"]), ("Plain", ["PURE  VEGETARIAN"]), ("Non veg", ["pure veg"])], "n string, r array<string>")
-    found = [row[0] for row in rows.select(reviews.is_pure_veg(F.col("n"), F.col("r"))).collect()]
-    assert found == [True, False, False, True, False, True, True]
+    """A name that says so without negating it, or a review that says it strictly."""
+    by_name = {"": False, "veg": True, "vegas": False, "non-veg veg": False, "éveg": False, "Vegetarian": True}
+    by_review = {"pure ": True, "pure-": True, "PURE  ": True, "impure ": False, "": False, "pure": True}
+    cases = [(f"q {name}", [f"q {prefix}veg{tail} q"], said or (strict and tail != "x"))
+             for name, said in by_name.items() for prefix, strict in by_review.items() for tail in ("", "etarian", "x")]
+    frame = spark.createDataFrame([case[:2] for case in cases], "n string, r array<string>")
+    assert [row[0] for row in frame.select(reviews.is_pure_veg(F.col("n"), F.col("r"))).collect()] == [case[2] for case in cases]
 
 
 @pytest.mark.parametrize("sizes, limit", [([300] * 5, 700), ([800, 10, 10], 700), ([], 700), ([5, 5, 5], 19), ([5, 5, 5], 18)])
