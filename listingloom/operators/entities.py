@@ -13,33 +13,48 @@ ENTITY_COLUMNS = [
 ]
 
 
+def placed(listings: DataFrame, path: str | None = None) -> DataFrame:
+    """Listings stored with a number per row, `place`, that tells equal ones apart; as they are where they have it."""
+    if "place" in listings.columns:
+        return listings
+    numbered = listings.withColumn("place", F.monotonically_increasing_id())
+    if path is None:
+        return written(numbered, "listings")
+    numbered.write.parquet(path)
+    return listings.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 def best_listings(listings: DataFrame) -> DataFrame:
     """The most informative listing per (name, address), with the categories of all of them.
 
     Most votes win, then the longest review text. The reference order of ties is the order of
     the input, which a distributed table does not have: ties fall to the URL, then the category,
-    then the other fields. One aggregation does it all. It combines on the map side, so an entity
-    with very many listings reaches its reducer as one row per task.
+    then a hash of the other fields; rows equal in all of them are one listing. The winner is settled on a narrow key in
+    one aggregation. It combines on the map side, so an entity with very many listings reaches its reducer as one row
+    per task. Review text and the other fields are fetched for the winners only, by their place in the stored listings.
     """
-    payload = [c for c in listings.columns if c not in ("name", "address", "votes", "url", "category")]
-    keyed = listings.select(
+    stored = placed(listings)
+    payload = [c for c in stored.columns if c not in ("name", "address", "votes", "url", "category", "place")]
+    # Nulls leave such a hash as it is, so each field goes with whether it is null.
+    digest = F.xxhash64(*(x for c in payload for x in (F.col(c), F.col(c).isNull()))) if payload else F.lit(0)
+    keyed = stored.select(
         fix_text(F.col("name")).alias("name"),
         fix_text(F.col("address")).alias("address"),
         parse.votes(F.col("votes")).alias("votes"),
         F.length(F.coalesce("reviews", F.lit(""))).alias("review_chars"),
-        "url", "category", *payload,
-    ).where((F.col("name") != "") & (F.col("address") != ""))
-    order = F.struct(
-        (-F.col("votes")).alias("fewer_votes"), (-F.col("review_chars")).alias("shorter"), "url", "category", *payload
+        "url", "category", digest.alias("digest"), "place",
     )
+    order = F.struct((-F.col("votes")).alias("fewer_votes"), (-F.col("review_chars")).alias("shorter"), "url", "category", "digest", "place")
+    # Blank keys are told by an aggregate: a test on the keys themselves would be pushed down, and clean every name twice.
     best = keyed.groupBy("name", "address").agg(
-        F.min(order).alias("best"), F.array_sort(F.collect_set("category")).alias("categories")
-    )
-    return best.select(
+        F.min(order).alias("best"), F.array_sort(F.collect_set("category")).alias("categories"),
+        F.min(F.least(F.octet_length("name"), F.octet_length("address"))).alias("shortest"),
+    ).where("shortest > 0")
+    winners = best.select(
         "name", "address", "categories",
-        (-F.col("best.fewer_votes")).alias("votes"), (-F.col("best.shorter")).alias("review_chars"),
-        "best.url", *(f"best.{c}" for c in payload),
+        (-F.col("best.fewer_votes")).alias("votes"), (-F.col("best.shorter")).alias("review_chars"), "best.url", "best.category", "best.place",
     )
+    return winners.join(stored.select("place", *payload), "place").drop("place", "category")
 
 
 def normalise(best: DataFrame) -> DataFrame:

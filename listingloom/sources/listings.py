@@ -5,12 +5,13 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listingloom import fixed
 from listingloom.errors import DatasetError
 from listingloom.functions.parse import null_tokens
-from listingloom.sources.shared import spread
+from listingloom.sources.records import records, surveyed
+from listingloom.sources.shared import spread, written
 
 
 def read_or_none(spark: SparkSession, path: str, file_format: str = "parquet", **options) -> DataFrame | None:
@@ -25,36 +26,71 @@ def read_or_none(spark: SparkSession, path: str, file_format: str = "parquet", *
         raise
 
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     """The first line of every file, and the files that begin with it.
 
-    One pass over the lines, far cheaper than parsing them. Lines are numbered in the order of a file within its first block.
+    Lines are numbered in the order of a file within its first block.
     """
-    lines = read_or_none(spark, path, "text")
-    if lines is None:
-        raise DatasetError(f"Dataset not found at {path}.")
+    lines = spark.read.text(files)
     # Names beside the lines, so that a file without any line is not missed as a header.
     first = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
     first = first.withColumn("place", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
-    files: dict[str, list[str]] = {}
+    found: dict[str, list[str]] = {}
     for row in first.collect():
-        files.setdefault(row["header"], []).append(unquote(row["file_path"]))
-    return files
+        found.setdefault(row["header"], []).append(unquote(row["file_path"]))
+    return found
+
+
+def _bound(header: str, file: str) -> list[str]:
+    """The names in a header, which must have all mapped columns."""
+    names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+    if missing := missing_columns(names):
+        raise DatasetError(f"Dataset is missing expected columns: {missing} in {file}")
+    return names
+
+
+def _read_whole(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """Files that are read from their start, each by one task."""
+    parts = []
+    for header, some in sorted(_headers(spark, files).items()):
+        _bound(header, sorted(some)[0])
+        parts.append(standard_columns(spark.read.csv(sorted(some), header=True, multiLine=True, escape='"')))
+    return parts
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
+def _mapped(names: list[str]) -> Column:
+    """An array of one struct, the mapped columns of a record, parsed once by the names of its header."""
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"', "multiLine": "true"})
+    places = {new: names.index(old) for old, new in fixed.RAW_COLUMNS.items()}
+    return F.transform(F.array(cells), lambda row: F.struct(*(null_tokens(row[f"c{i}"]).alias(new) for new, i in places.items())))
+
+
+def _parsed(rows: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
+    """Records as the mapped columns, each bound by the names in the header of its file."""
+    return rows.select(F.inline(F.coalesce(*(F.when(F.col("header") == header, _mapped(names)) for header, names in headers.items()))))
+
+
+def read_listings(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """Raw listings as strings: the mapped columns only, renamed, with missing values as null.
 
-    Columns are bound by name in every file: files with one header are read together, and each header must have all
-    mapped columns, in any order, among any others. Quoted fields hold line breaks, so one file is parsed by one task; few
-    files are then spread over all cores.
+    Columns are bound by name in every file: each header must have all mapped columns, in any order, among any others.
+    A file is shared by many tasks, although quoted fields hold line breaks: the parity of the quotes before a split
+    tells whether it begins in a field (sources/records.py). Compressed files, and files with quotes inside
+    or around parts of a field, where that rule does not hold, are parsed from their start by one task each; if their lines end in \\r\\n, Spark
+    then gives such breaks in fields as \\n.
     """
-    parts = []
-    for header, files in sorted(_headers(spark, path).items()):
-        names = next(csv.reader([header.removeprefix("\ufeff")]), [])
-        if missing := missing_columns(names):
-            raise DatasetError(f"Dataset is missing expected columns: {missing} in {sorted(files)[0]}")
-        parts.append(standard_columns(spark.read.csv(sorted(files), header=True, multiLine=True, escape='"')))
+    listed = read_or_none(spark, path, "binaryFile")
+    if listed is None:
+        raise DatasetError(f"Dataset not found at {path}.")
+    files = written(listed.select("path", "length"), "csv-files")
+    packed = F.col("path").rlike(r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$")
+    splits = surveyed(files.filter(~packed), split_bytes)
+    odd = splits.filter("misplaced > 0").select("path").distinct().unionByName(files.filter(packed & (F.col("length") > 0)).select("path"))
+    whole = sorted(row["path"] for row in odd.collect())
+    plain = splits.filter("misplaced = 0")
+    headers = {row["header"]: _bound(row["header"], row["file"]) for row in plain.groupBy("header").agg(F.min("path").alias("file")).orderBy("header").collect()}
+    parts = [_parsed(records(plain), headers)] if headers else []
+    parts += _read_whole(spark, whole) if whole else []
     if not parts:
         raise DatasetError(f"Dataset is missing expected columns: {missing_columns([])} in {path}")
     return spread(reduce(DataFrame.unionByName, parts))
