@@ -24,17 +24,13 @@ def placed(listings: DataFrame, path: str | None = None) -> DataFrame:
     return listings.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
-def best_listings(listings: DataFrame) -> DataFrame:
-    """The most informative listing per (name, address), with the categories of all of them.
+def _payload(stored: DataFrame) -> list[str]:
+    return [c for c in stored.columns if c not in ("name", "address", "votes", "url", "category", "place")]
 
-    Most votes win, then the longest review text. The reference order of ties is the order of
-    the input, which a distributed table does not have: ties fall to the URL, then the category,
-    then a hash of the other fields; rows equal in all of them are one listing. The winner is settled on a narrow key in
-    one aggregation. It combines on the map side, so an entity with very many listings reaches its reducer as one row
-    per task. Review text and the other fields are fetched for the winners only, by their place in the stored listings.
-    """
-    stored = placed(listings)
-    payload = [c for c in stored.columns if c not in ("name", "address", "votes", "url", "category", "place")]
+
+def winners(stored: DataFrame) -> DataFrame:
+    """The place of the best listing per (name, address), its order and the categories of all, settled on a narrow key."""
+    payload = _payload(stored)
     # Nulls leave such a hash as it is, so each field goes with whether it is null.
     digest = F.xxhash64(*(x for c in payload for x in (F.col(c), F.col(c).isNull()))) if payload else F.lit(0)
     keyed = stored.select(
@@ -50,11 +46,26 @@ def best_listings(listings: DataFrame) -> DataFrame:
         F.min(order).alias("best"), F.array_sort(F.collect_set("category")).alias("categories"),
         F.min(F.least(F.octet_length("name"), F.octet_length("address"))).alias("shortest"),
     ).where("shortest > 0")
-    winners = best.select(
+    return best.select(
         "name", "address", "categories",
-        (-F.col("best.fewer_votes")).alias("votes"), (-F.col("best.shorter")).alias("review_chars"), "best.url", "best.category", "best.place",
+        (-F.col("best.fewer_votes")).alias("votes"), (-F.col("best.shorter")).alias("review_chars"), "best.url", "best.place",
     )
-    return winners.join(stored.select("place", *payload), "place").drop("place", "category")
+
+
+def best_listings(listings: DataFrame) -> DataFrame:
+    """The most informative listing per (name, address), with the categories of all of them.
+
+    Most votes win, then the longest review text. The reference order of ties is the order of
+    the input, which a distributed table does not have: ties fall to the URL, then the category,
+    then a hash of the other fields; rows equal in all of them are one listing. Winners are settled on a narrow key in
+    one aggregation. It combines on the map side, so an entity with very many listings reaches its reducer as one row
+    per task. They are stored, so that their size is known when review text and the other fields are fetched for
+    them by their place in the stored listings: while they fit a broadcast, only text of winners is shuffled.
+    """
+    stored = placed(listings)
+    fetched = written(winners(stored), "winners").join(stored.select("place", *_payload(stored)), "place")
+    # Files hold winners unevenly, and what follows is heavy per row.
+    return fetched.repartition("place").drop("place")
 
 
 def normalise(best: DataFrame) -> DataFrame:

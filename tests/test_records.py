@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingloom import fixed
-from listingloom.operators.entities import best_listings
+from listingloom.operators.entities import best_listings, placed, winners
 from listingloom.sources import records as r
 from listingloom.sources.listings import read_listings
 
@@ -98,7 +98,7 @@ COLUMNS = "name string, address string, votes string, url string, category strin
 
 def test_review_text_stays_out_of_the_aggregate(spark):
     rows = spark.createDataFrame([("a", "b", "1", "u", "c", "['x']", "n")], COLUMNS)
-    plan = best_listings(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = winners(placed(rows))._jdf.queryExecution().executedPlan().toString()
     aggregates = [line for line in plan.split("\n") if "Aggregate(" in line or "Exchange hashpartitioning(name" in line]
     assert aggregates and all("reviews" not in line and "note" not in line for line in aggregates)
     assert plan.count("regexp_replace(name") <= 1
