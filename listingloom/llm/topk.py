@@ -163,21 +163,21 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
     Vectors are quantised first (quantised()). Queries are the rows of `df` that `is_query` selects; candidates are all
     rows but the query's own. Ties go to the smaller id; a query with fewer candidates gets them all. Rows with a null
     id, or a vector that is null or holds null or non-finite components, take no part; shorter vectors count as filled
-    up with zeros; a score beyond 64 bits is an error. A row is known by its id: of rows with one id the smallest vector counts, once.
+    up with zeros; a score beyond 64 bits is an error. Rows that share an id are queries and candidates each of its own.
 
     Equal vectors are searched once and count as candidates with their k + 1 smallest ids only. Candidates are dealt into
     blocks of about BLOCK_VECTORS, queries into packs; every pack meets every block, the stated queries against all rows.
     One block, searched first, gives every query a bar, so that the other blocks stop early and emit little.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("vector"), is_query.alias("asks"))
-    rows = rows.filter("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
-    rows = written(rows, "topk-rows")
+    # The number of a row holds from here on, as the rows are read back from where they are written.
+    rows = written(rows.filter("id is not null and vector is not null").withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     blocks = written(_packed(_classes(rows.select("id", "vector"), k + 1), BLOCK_VECTORS), "topk-blocks")
     numbers = [r["number"] for r in blocks.select("number").collect()]
     if not numbers:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.col("id").alias("score")).limit(0)
-    # Queries with one vector are one query, known by its smallest id.
-    asked = rows.filter("asks").groupBy("vector").agg(F.min("id").alias("query"))
+    # Queries with one vector are one query, known by its smallest row.
+    asked = rows.filter("asks").groupBy("vector").agg(F.min("row").alias("query"))
     seeds = _packed(asked.withColumn("bar", F.lit(None).cast("long")), PACK_VECTORS)
     sent = seeds.withColumn("block", F.explode(F.array(F.lit(numbers[0]))))
     seeds = written(_best(_searched(sent, blocks, k + 1), k + 1), "topk-seeds")
@@ -188,7 +188,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
         others = sent.withColumn("block", F.explode(F.array(*map(F.lit, numbers[1:]))))
         found = found.unionByName(_searched(others, blocks, k + 1))
     best = _best(found, k + 1).select("query", "score", F.col("id").alias("other"))
-    mine = rows.filter("asks").join(asked, "vector").select(F.col("id").alias("query_id"), "query")
-    near = mine.join(best, "query").filter(F.col("other") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "other"))
+    own = F.aggregate("vector", F.lit(0).cast("long"), lambda total, x: total + x * x).alias("own")
+    mine = rows.filter("asks").join(asked, "vector").select("row", F.col("id").alias("query_id"), "query", own)
+    # The query's own row is one of those with its id and its score, which are alike in the result: the first of them goes.
+    per_row = Window.partitionBy("row")
+    place = F.row_number().over(per_row.orderBy(F.col("score").desc(), "other"))
+    near = mine.join(best, "query").withColumn("place", place)
+    mine_at = F.min(F.when((F.col("other") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("place"))).over(per_row)
+    near = near.withColumn("mine_at", mine_at).filter("mine_at is null or place != mine_at")
+    rank = (F.col("place") - F.when(F.col("place") > F.col("mine_at"), 1).otherwise(0)).cast("int")
     return near.select("query_id", rank.alias("rank"), F.col("other").alias("id"), "score").filter(F.col("rank") <= k)

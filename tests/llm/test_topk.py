@@ -9,16 +9,12 @@ from listingloom.llm import topk
 
 
 def brute(rows):
-    vectors = {}
-    for i, v, *_ in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(64 * float(x)) for x in v]
-        vectors[i] = min(vectors.get(i, q), q)
+    whole = [(i, v) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    vectors = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in whole]
     out = []
-    for i, v in vectors.items():
+    for n, (i, v) in enumerate(vectors):
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in vectors.items() if j != i)
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for m, (j, w) in enumerate(vectors) if m != n)
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:20], 1)]
     return sorted(out)
 
@@ -38,6 +34,13 @@ def test_ties_and_odd_vectors(spark, tmp_path, monkeypatch):
     check(spark, tmp_path, small + odd + small[:50])
 
 
+def test_rows_that_share_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 30)
+    rng = random.Random(3)
+    rows = [(rng.choice([20, 40, 41, i]), [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], 0, 0.0) for i in range(300)]
+    check(spark, tmp_path, rows + rows[:90])
+
+
 def test_one_vector_held_by_most_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_VECTORS", 30)
     rng = random.Random(2)
