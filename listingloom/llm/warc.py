@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,6 +28,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Bytes of a file that a reader asks for at once, and of payloads in one batch.
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
+#: Packed bytes that are unpacked at once, and unpacked bytes asked for while a header is looked for.
+PIECE_BYTES, HEAD_BYTES = 1 << 16, 1 << 12
 
 #: Columns that come from the headers alone, with the filters that are tested on them before a payload is touched.
 HEADER_COLUMNS = ("record_id", "record_type", "url", "payload_digest", "refers_to", "payload_bytes")
@@ -64,40 +67,109 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def member(raw: bytes, level: int) -> bytes:
+    """One gzip member. Its extra field "sl" (of the WARC format's annex on compression) states the sizes of the member and
+    of what is in it, so that a reader can pass over it; it is left out where a size needs more than 32 bits."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(raw) + packer.flush() + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    size = 24 + len(body)
+    if max(size, len(raw)) >= 1 << 32:
+        return struct.pack("<4BIBB", 31, 139, 8, 0, 0, 0, 255) + body
+    return struct.pack("<4BIBBH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(raw)) + body
+
+
+def _stated_size(head: bytes) -> int | None:
+    """The packed size of a member that begins with these bytes, where its only extra field states it."""
+    if len(head) < 24 or not head[3] & 4 or head[10:16] != struct.pack("<H2sH", 12, b"sl", 8):
+        return None
+    return struct.unpack_from("<I", head, 16)[0]
+
+
 class _Stream:
-    """Bytes of a file of gzip members, one for each record, unpacked only as far as they are asked for."""
+    """The unpacked bytes of a file of gzip members, only as far as they are asked for."""
 
     def __init__(self, file):
-        self.file, self.raw, self.ready, self.at = file, b"", bytearray(), 0
-        self.member = None
-
-    def _more(self) -> bool:
+        self.file, self.total = file, file.seek(0, 2)
+        file.seek(0)
+        self.raw, self.at_raw, self.base = b"", 0, 0
+        self.member, self.ends, self.ready, self.at, self.unpacked = None, None, bytearray(), 0, 0
+
+    def _load(self, n: int) -> bytes:
+        """The next n packed bytes, or what is left of the file."""
+        while len(self.raw) - self.at_raw < n and (more := self.file.read(CHUNK_BYTES)):
+            self.base += self.at_raw
+            self.raw, self.at_raw = self.raw[self.at_raw :] + more, 0
+        return self.raw[self.at_raw : self.at_raw + n]
+
+    def _more(self, most: int = CHUNK_BYTES) -> bool:
         """Unpacks some more of the member that is being read; False at its end."""
         if self.member is None or self.member.eof:
             return False
-        if not self.raw:
-            self.raw = self.file.read(CHUNK_BYTES)
-            if not self.raw:
-                raise ValueError("the archive ends within a record")
-        self.ready += self.member.decompress(self.raw, CHUNK_BYTES)
-        self.raw = self.member.unconsumed_tail or self.member.unused_data
+        piece = self._load(1) and self._load(PIECE_BYTES)
+        if not piece:
+            raise ValueError("the archive ends within a record")
+        out = self.member.decompress(piece, most)
+        self.at_raw += len(piece) - len(self.member.unconsumed_tail or self.member.unused_data)
+        self.ready += out
+        self.unpacked += len(out)
         return True
 
     def start(self) -> bool:
-        """Goes to the next member, past the rest of the last; False at the end of the file."""
-        while self._more():
+        """Goes to the next member; False at the end of the file. The rest of the last one is passed over, packed, where
+        its size is stated."""
+        if self.ends is not None:
+            if self.ends > self.total:
+                raise ValueError("the archive ends within a record")
+            if self.ends <= self.base + len(self.raw):
+                self.at_raw = self.ends - self.base
+            else:
+                self.file.seek(self.ends)
+                self.raw, self.at_raw, self.base = b"", 0, self.ends
+        while self.ends is None and self._more():
             self.ready.clear()
-        if not self.raw:
-            self.raw = self.file.read(CHUNK_BYTES)
+        head = self._load(24)
+        size = _stated_size(head)
+        self.ends = None if size is None else self.base + self.at_raw + size
         self.member, self.ready, self.at = zlib.decompressobj(31), bytearray(), 0
-        return bool(self.raw)
+        return bool(head)
 
-    def until(self, sign: bytes) -> bytes:
-        """The bytes up to a sign, which is passed over."""
-        while (end := self.ready.find(sign, self.at)) < 0:
-            if not self._more():
+    def goes_on(self, rest: int) -> bool:
+        """Whether another record follows in this member, past the rest of the last block. Members of a stated size hold one."""
+        if self.member is None or self.ends is not None:
+            return False
+        while rest:
+            step = min(rest, len(self.ready) - self.at)
+            self.at, rest = self.at + step, rest - step
+            if rest:
+                self._forget()
+                if not self._more():
+                    raise ValueError("a record is shorter than its header says")
+        while True:
+            while self.at < len(self.ready) and self.ready[self.at] in b"\r\n":
+                self.at += 1
+            if self.at < len(self.ready):
+                return True
+            self._forget()
+            if not self._more(HEAD_BYTES):
+                return False
+
+    def _forget(self) -> None:
+        del self.ready[: self.at]
+        self.at = 0
+
+    def until(self, sign: bytes, within: int | None = None) -> bytes | None:
+        """The bytes up to a sign, which is passed over; None, and nothing is passed over, if it is not within so many bytes."""
+        self._forget()
+        looked = 0
+        while (end := self.ready.find(sign, looked, within)) < 0:
+            looked = max(0, len(self.ready) - len(sign) + 1)
+            if within is not None and len(self.ready) >= within:
+                return None
+            if not self._more(HEAD_BYTES):
+                if within is not None:
+                    return None
                 raise ValueError("a record without the end of its header")
-        found = bytes(self.ready[self.at : end])
+        found = bytes(self.ready[:end])
         self.at = end + len(sign)
         return found
 
@@ -112,7 +184,7 @@ class _Stream:
 
 
 def _headers(text: bytes) -> dict[str, str]:
-    lines = text.decode("utf-8").split("\r\n")[1:]
+    lines = text.decode("utf-8", "replace").split("\r\n")[1:]
     return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
@@ -142,35 +214,53 @@ def _passes(value, test: Filter) -> bool:
 _TESTS = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, IsNull, IsNotNull)
 
 
+def _uri(value: str | None) -> str | None:
+    return None if value is None else value.strip("<>")
+
+
 def records(file, columns: list[str], tests: list[Filter], counter: dict[str, int] | None = None) -> Iterator[dict]:
     """The records of one archive that pass the tests on their headers.
 
-    Headers are parsed first. The payload of a record that fails, or that no column asks for, is skipped undecoded.
-    A payload that is read must have the digest that its header states.
+    The WARC header is parsed and tested first. Blocks of HTTP begin with a header of their own, which is parsed only for
+    records that passed; the payload is what follows it, as stored (a chunked body stays chunked), and of other blocks
+    all of it. payload_bytes is its size; for a revisit, the size that its HTTP header states, or null. Header lines that
+    a record does not have are null. A payload that no column asks for is not kept, nor is it unpacked where its member
+    states its size, as those of write_warc do; members of other makers are unpacked to find the next. A member may hold
+    many records. A payload that is read must have its SHA-1 digest, if its header states one in base32 and no transfer coding.
     """
     stream = _Stream(file)
     wants_payload = "payload" in columns
-    while stream.start():
+    rest = 0
+    while stream.goes_on(rest) or stream.start():
         warc = _headers(stream.until(b"\r\n\r\n"))
-        http = _headers(stream.until(b"\r\n\r\n"))
-        kind = warc["warc-type"]
+        rest = size = int(warc.get("content-length", 0))
+        digest = warc.get("warc-payload-digest")
         row = {
-            "record_id": warc["warc-record-id"].strip("<>"),
-            "record_type": kind,
-            "url": warc.get("warc-target-uri"),
-            "payload_digest": warc["warc-payload-digest"].removeprefix("sha1:"),
-            "refers_to": warc["warc-refers-to"].strip("<>") if "warc-refers-to" in warc else None,
-            "payload_bytes": int(http["content-length"]),
+            "record_id": _uri(warc.get("warc-record-id")), "record_type": warc.get("warc-type"), "url": _uri(warc.get("warc-target-uri")),
+            "payload_digest": None if digest is None else digest.removeprefix("sha1:"), "refers_to": _uri(warc.get("warc-refers-to")),
         }
-        if all(_passes(row[x.attribute[0]], x) for x in tests):
-            row["payload"] = None
-            if wants_payload and kind == "response":
-                row["payload"] = stream.take(row["payload_bytes"])
-                if counter is not None:
-                    counter["payloads"] = counter.get("payloads", 0) + 1
-                if payload_digest(row["payload"]) != row["payload_digest"]:
-                    raise ValueError(f"{row['record_id']}: the payload does not have the digest of its header")
-            yield row
+        if not all(_passes(row[x.attribute[0]], x) for x in tests if x.attribute[0] != "payload_bytes"):
+            continue
+        http: dict[str, str] = {}
+        if warc.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            head = stream.until(b"\r\n\r\n", size)
+            if head is not None:
+                http, rest = _headers(head), size - len(head) - 4
+        stated = http.get("content-length", "")
+        row["payload_bytes"] = rest if row["record_type"] != "revisit" else int(stated) if stated.isdecimal() else None
+        row["payload"] = None
+        if not all(_passes(row[x.attribute[0]], x) for x in tests if x.attribute[0] == "payload_bytes"):
+            continue
+        if wants_payload and row["record_type"] != "revisit":
+            row["payload"], rest = stream.take(rest), 0
+            if counter is not None:
+                counter["payloads"] = counter.get("payloads", 0) + 1
+            sha1 = digest is not None and digest.startswith("sha1:") and len(digest) == 37 and "transfer-encoding" not in http
+            if sha1 and payload_digest(row["payload"]) != row["payload_digest"]:
+                raise ValueError(f"{row['record_id']}: the payload does not have the digest of its header")
+        if counter is not None:
+            counter["unpacked"] = stream.unpacked
+        yield row
 
 
 @dataclass
@@ -192,8 +282,7 @@ class _Writer(DataSourceArrowWriter):
                 key, url, payload, target, revisit = (c[i].as_py() for c in columns)
                 payload = (payload or "").encode()
                 refers_to = record_uri(target) if revisit else None
-                packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                raw = packer.compress(record(key, url, payload, payload_digest(payload), refers_to)) + packer.flush()
+                raw = member(record(key, url, payload, payload_digest(payload), refers_to), self.level)
                 if out is None or size + len(raw) > self.file_bytes:
                     if out is not None:
                         out.close()
@@ -248,7 +337,7 @@ class _Reader(DataSourceReader):
         schema = pa.schema([(c, kinds.get(c, pa.string())) for c in self.columns])
         system, path = files.opened(partition.path)
         rows, size = [], 0
-        with system.open_input_stream(path, compression=None, buffer_size=CHUNK_BYTES) as file:
+        with system.open_input_file(path) as file:
             for row in records(file, self.columns, self.tests):
                 rows.append({c: row[c] for c in self.columns})
                 size += 400 + len(row["payload"] or b"")
@@ -261,7 +350,7 @@ class _Reader(DataSourceReader):
 
 class Warc(DataSource):
     """Format "warc_records". Read: the columns of schema(), or those of them that .schema(...) names; without the column
-    payload, payloads are never unpacked into rows. Tests on the other columns are pushed to the headers. Needs
+    payload, payloads are not unpacked (see records()). Tests on the other columns are pushed to the headers. Needs
     spark.sql.python.filterPushdown.enabled for that; without it Spark tests the rows itself."""
 
     @classmethod
@@ -307,7 +396,9 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
 
 
 def read_warc(spark: SparkSession, folder: str, columns: tuple[str, ...] = (*HEADER_COLUMNS, "payload")) -> DataFrame:
-    """The records of the archives in a folder. payload is null for revisits; payload_bytes is the size of the full one."""
+    """The records of the archives in a folder. payload is null for revisits; payload_bytes is the size of the full one.
+
+    Sets spark.sql.python.filterPushdown.enabled for the session."""
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     kinds = {"payload_bytes": "long", "payload": "binary"}

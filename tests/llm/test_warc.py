@@ -61,8 +61,48 @@ def test_unwanted_payloads_are_not_decoded():
     seen = {}
     tests = [EqualTo(("record_type",), "response"), StringStartsWith(("url",), "http://x/4")]
     found = list(warc.records(io.BytesIO(raw), ["record_id", "payload"], tests, seen))
-    assert [len(r["payload"]) for r in found] == [4, *range(40, 50)] and seen == {"payloads": 11}
-    assert len(list(warc.records(io.BytesIO(raw), ["record_id"], [], seen))) == 50 and seen == {"payloads": 11}
+    assert [len(r["payload"]) for r in found] == [4, *range(40, 50)] and seen["payloads"] == 11
+    assert len(list(warc.records(io.BytesIO(raw), ["record_id"], [], seen))) == 50 and seen["payloads"] == 11
+
+
+def test_payloads_that_fail_are_not_unpacked():
+    payload = b"p" * 3_000_000
+    raw = b"".join(warc.member(warc.record(k, "http://x", payload, warc.payload_digest(payload), None), 0) for k in range(20))
+    assert gzip.decompress(raw).count(b"WARC-Type") == 20
+    seen = {}
+    assert len(list(warc.records(io.BytesIO(raw), ["record_id", "payload_bytes"], [], seen))) == 20
+    assert seen["unpacked"] <= 20 * 2 * warc.HEAD_BYTES
+    found = list(warc.records(io.BytesIO(raw), ["payload"], [EqualTo(("record_id",), "urn:record:7")], seen))
+    assert [r["payload"] == payload for r in found] == [True] and seen["unpacked"] < len(payload) + 20 * 2 * warc.HEAD_BYTES
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(io.BytesIO(raw[:-9]), ["record_id"], []))
+
+
+def other(kind, content_type, block, *more):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", *([f"Content-Type: {content_type}"] if content_type else []), *more, f"Content-Length: {len(block)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_archives_of_other_makers(spark, tmp_path, together):
+    whole = [
+        other("warcinfo", "application/warc-fields", b"software: x\r\n\r\n"),
+        other("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "WARC-Target-URI: <http://x/>"),
+        other("response", "application/http;msgtype=response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n", "WARC-Payload-Digest: sha1:" + "A" * 32),
+        other("resource", "text/dns", b"", "WARC-Target-URI: dns:x"),
+        other("metadata", None, b"\xff no fields"),
+        other("revisit", "application/http", b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        other("conversion", "application/http", b"no head at all"),
+    ]
+    (tmp_path / "w").mkdir()
+    raw = gzip.compress(b"".join(whole)) if together else b"".join(map(gzip.compress, whole))
+    (tmp_path / "w" / "a.warc.gz").write_bytes(raw)
+    back = warc.read_warc(spark, f"{tmp_path}/w")
+    got = {r.record_type: (r.url, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in back.collect()}
+    payloads = {"warcinfo": b"software: x\r\n\r\n", "request": b"", "response": b"3\r\nabc\r\n0\r\n\r\n", "resource": b"", "metadata": b"\xff no fields", "conversion": b"no head at all"}
+    urls = {"request": "http://x/", "resource": "dns:x"}
+    assert got == {k: (urls.get(k), len(p), p) for k, p in payloads.items()} | {"revisit": (None, None, None)}
+    assert [r.payload_bytes for r in back.filter("record_type = 'metadata' and payload_bytes > 3").select("payload_bytes").collect()] == [len(payloads["metadata"])]
 
 
 def test_damage_is_an_error():
