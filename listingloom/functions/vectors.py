@@ -23,7 +23,7 @@ class HashedTokens:
 
     def __call__(self) -> Encoder:
         """What a worker calls once before it encodes its batches."""
-        words = re.compile(r"[^\W_]+")
+        tokens = re.compile(r"[^\W_]+|\0")  # words, and the mark between two texts
         slots: dict[str, int] = {}
 
         def slot(word: str) -> int:
@@ -34,11 +34,16 @@ class HashedTokens:
             return slots[word]
 
         def encode(texts: list[str]) -> np.ndarray:
-            vectors = np.zeros((len(texts), self.dims))
-            for vector, text in zip(vectors, texts):
-                found = words.findall(text)
-                vector += np.bincount(np.fromiter(map(slot, found), np.int64, len(found)), minlength=self.dims)
-            return vectors
+            whole = "\0".join(texts)
+            if whole.count("\0") >= max(len(texts), 1):
+                whole = "\0".join(text.replace("\0", " ") for text in texts)
+            codes, distinct = pd.factorize(np.array(tokens.findall(whole), dtype=object))
+            marks = np.array([word == "\0" for word in distinct], dtype=bool)
+            places = np.array([0 if word == "\0" else slot(word) for word in distinct], dtype=np.int64)
+            is_mark = marks[codes]
+            cells = np.cumsum(is_mark) * self.dims + places[codes]
+            counts = np.bincount(cells[~is_mark], minlength=len(texts) * self.dims)
+            return counts.reshape(len(texts), self.dims).astype(float)
 
         return encode
 
