@@ -1,5 +1,6 @@
 """Parsing and text functions, value by value."""
 
+import hashlib
 import random
 import re
 
