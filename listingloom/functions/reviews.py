@@ -2,12 +2,13 @@
 
 import ast
 import warnings
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from listingloom import fixed
-from listingloom.functions.text import fix_text, truncate
+from listingloom.functions.text import fix_text, slices, truncate
 
 
 def _pair_texts(cell: str | None) -> list[str]:
@@ -26,8 +27,11 @@ def _pair_texts(cell: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _literal_texts(cells: pd.Series) -> pd.Series:
-    return cells.map(_pair_texts)
+def _literal_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A batch leaves the worker in slices, so that it never holds the parsed texts of all its cells."""
+    for cells in batches:
+        for start, end in slices(cells):
+            yield cells.iloc[start:end].map(_pair_texts)
 
 
 def parse_reviews(cell: Column) -> Column:

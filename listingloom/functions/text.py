@@ -1,9 +1,14 @@
 """Column functions on dirty text."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from listingloom import fixed
 
+SLICE_CHARS = 1 << 20  # of texts that a worker handles at a time; a longer one is handled alone
+
 
 def collapse_space(text: Column) -> Column:
     """Turn every run of white space into one blank and trim the ends."""
@@ -57,3 +62,18 @@ def or_default(text: Column, default: str) -> Column:
 def joined(items: Column) -> Column:
     """Array items separated by a comma and a blank; missing becomes the empty string."""
     return F.coalesce(F.array_join(items, ", "), F.lit(""))
+
+
+def slices(texts: pd.Series, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the slices of a batch that have at most SLICE_CHARS characters, or one text, and at most so many rows."""
+    start = chars = 0
+    for place, text in enumerate(texts):
+        size = len(text) if isinstance(text, str) else 0
+        if place > start and (chars + size > SLICE_CHARS or place - start == rows):
+            yield start, place
+            start, chars = place, 0
+        chars += size
+    if len(texts):
+        yield start, len(texts)
+    else:
+        yield 0, 0

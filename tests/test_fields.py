@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,11 @@ def test_hashed_tokens_count_words_of_each_text():
             for word in re.findall(r"[^\W_]+", text):
                 row[int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % 32] += 1
         assert encode(texts).shape == (n, 32) and (encode(texts) == want).all()
+
+
+def test_parsed_cells_leave_the_worker_in_slices(monkeypatch):
+    monkeypatch.setattr(text, "SLICE_CHARS", 100)
+    cells = pd.Series([repr([("", "x" * n)]) if n else None for n in (10, 20, 0, 300, 5, 90, 1)])
+    parts = list(reviews._literal_texts.func(iter([cells])))
+    assert [len(part) for part in parts] == [3, 1, 1, 1, 1] and all(part.index.tolist() == list(part.index) for part in parts)
+    assert [x for part in parts for x in part] == [["x" * n] if n else [] for n in (10, 20, 0, 300, 5, 90, 1)]
