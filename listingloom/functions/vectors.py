@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from listingloom import fixed
+from listingloom.functions.text import slices
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -76,18 +77,17 @@ class SentenceEncoder:
 
 
 def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int = fixed.EMBED_BATCH) -> Column:
-    """Unit-length vectors of text. The encoder is set up once per task and fed fixed batches."""
+    """Unit-length vectors of text. The encoder is set up once per task and fed batches of bounded rows and text."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for texts in batches:
-            whole = texts.fillna("").tolist()
-            parts = [np.asarray(encode(whole[i:i + batch_size])) for i in range(0, len(whole), batch_size)]
-            rows = np.concatenate(parts) if parts else np.zeros((0, 0))
-            norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            unit = np.divide(rows, norms, out=np.zeros_like(rows, dtype=float), where=norms > 0)
-            yield pd.Series(list(unit.astype(np.float32)))
+            for start, end in slices(texts, batch_size):
+                rows = np.asarray(encode(texts.iloc[start:end].fillna("").tolist())) if end > start else np.zeros((0, 0))
+                norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                unit = np.divide(rows, norms, out=np.zeros_like(rows, dtype=float), where=norms > 0)
+                yield pd.Series(list(unit.astype(np.float32)))
 
     return vectors(text)
 

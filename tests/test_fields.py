@@ -180,3 +180,11 @@ def test_parsed_cells_leave_the_worker_in_slices(monkeypatch):
     parts = list(reviews._literal_texts.func(iter([cells])))
     assert [len(part) for part in parts] == [3, 1, 1, 1, 1] and all(part.index.tolist() == list(part.index) for part in parts)
     assert [x for part in parts for x in part] == [["x" * n] if n else [] for n in (10, 20, 0, 300, 5, 90, 1)]
+
+
+def test_long_texts_are_not_encoded_together(spark):
+    counts = lambda: lambda texts: np.array([[len(texts), 0.0] if len(texts) == 1 else [0.0, len(texts)] for _ in texts])
+    texts = ["x" * 600_000] * 3 + ["y", "z"]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").coalesce(1)
+    found = [r[1] for r in frame.select("i", vectors.embed(F.col("x"), counts)).orderBy("i").collect()]
+    assert found == [[1.0, 0.0]] * 2 + [[0.0, 1.0]] * 3
