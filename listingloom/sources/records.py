@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from listingloom.sources.shared import written
 
 #: The most bytes of a split, the fewest that pay for a task of their own, and the bytes read or sent at a time.
-SPLIT_BYTES, LEAST_BYTES, CHUNK_BYTES = 64 << 20, 1 << 20, 4 << 20
+SPLIT_BYTES, LEAST_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20, 4 << 20
 
 QUOTE, COMMA, NEWLINE, RETURN = 34, 44, 10, 13
 BOM = b"\xef\xbb\xbf"
@@ -99,9 +99,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(ends):
                     continue
                 raw += _rest(file, (row["quoted"] + int((data == QUOTE).sum())) % 2)
-            starts, stops = ends + 1, np.append(ends[1:], len(raw))
+            del data
+            stops = np.append(ends[1:], len(raw))
             size, records = 0, []
-            for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
+            for start, stop in zip(map(int, ends + 1), map(int, stops), strict=True):
                 record = raw[start:stop].removesuffix(b"\r")
                 if record:
                     records.append(record.decode("utf-8", "replace"))

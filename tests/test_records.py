@@ -115,3 +115,19 @@ def test_ties_and_equal_rows(spark):
     swapped = [("a", "b", "1", "u", "c", None, "x"), ("a", "b", "1", "u", "c", "x", None), ("q", "b", "1", "u", "c", None, "x")]
     assert best_listings(spark.createDataFrame(swapped, COLUMNS)).count() == 2
     assert best_listings(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_memory_of_a_whole_split(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    line = 'k,"' + 'one ""two""\nthree ' * 20 + '"\n'
+    (tmp_path / "x.csv").write_text("a,b\n" + line * ((64 << 20) // len(line)))
+    length = (tmp_path / "x.csv").stat().st_size
+    row = {"path": str(tmp_path / "x.csv"), "start": 0, "length": length, "size": min(length, r.SPLIT_BYTES), "quoted": 0, "header": "a,b"}
+    tracemalloc.start()
+    found = sum(batch.num_rows for run in (r._survey, r._cut) for batch in run(iter([pa.RecordBatch.from_pylist([row])])) if run is r._cut)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (row["size"] - 4) // len(line) + (row["size"] < length) and peak < 128 << 20
