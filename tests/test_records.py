@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingloom import fixed
-from listingloom.operators.entities import best_listings, placed, winners
+from listingloom.operators.entities import best_listings, of_winners, placed, read_reviews, winners
 from listingloom.sources import records as r
 from listingloom.sources.listings import read_listings
 
@@ -131,3 +131,28 @@ def test_memory_of_a_whole_split(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == (row["size"] - 4) // len(line) + (row["size"] < length) and peak < 128 << 20
+
+
+def test_winners_at_any_place(spark):
+    rows = spark.range(0, 100_000, numPartitions=3).select((F.col("id") % 3 * (1 << 33) + F.col("id")).alias("place"), "id")
+    for wanted in (F.col("id") % 7 == 0, F.col("id").isin(0, 1, 32_768, 32_769, 99_999), F.lit(False)):
+        best = rows.where(wanted).select("place")
+        assert sorted(r["id"] for r in of_winners(rows, best).collect()) == sorted(r["id"] for r in rows.where(wanted).collect())
+
+
+def test_many_winners_do_not_shuffle_the_text_of_others(spark):
+    """Where winners are too many to broadcast, only what is read of their own text is shuffled."""
+    rows = spark.range(20_000).select(
+        F.md5((F.col("id") % 10_000).cast("string")).alias("name"), F.lit("b").alias("address"), F.col("id").cast("string").alias("votes"),
+        F.lit("u").alias("url"), F.lit("c").alias("category"), F.lit("[('', 'RATED\\n  " + "a long review " * 20 + "')]").alias("reviews"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        best = best_listings(rows.repartition(spark.sparkContext.defaultParallelism), read_reviews)
+        assert best.count() == 10_000
+        plan = best._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt, read, marked = (
+        [i for i, line in enumerate(plan) if word in line] for word in ("Exchange hashpartitioning(place", "ArrowEvalPython", "BroadcastHashJoin [bucket"))
+    assert len(dealt) == 2 and dealt[1] < read[0] < marked[0]
