@@ -20,6 +20,8 @@ def build_cell_table(vectors: DataFrame, path: str, cells: int) -> tuple[DataFra
     return vectors.sparkSession.read.parquet(path), centres
 
 
-def approximate_top_hits(questions: DataFrame, cells: DataFrame, centres: np.ndarray, probes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def approximate_top_hits(
+    questions: DataFrame, cells: DataFrame, centres: np.ndarray, probes: int, carry: tuple[str, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """top_hits over the cells of the `probes` centres nearest to each question."""
-    return top_hits(questions.withColumn("cells", nearest_centres(F.col("vector"), centres, probes)), cells, carry)
+    return top_hits(questions.withColumn("cells", nearest_centres(F.col("vector"), centres, probes)), cells, carry, keep=keep)
