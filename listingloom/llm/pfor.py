@@ -34,6 +34,8 @@ from listingloom.llm.worker import kept
 
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
+#: Texts encoded at once, in bytes; a word is looked up once in each.
+SLICE_BYTES = 8 << 20
 _HEAD = np.dtype([("least", "<u4"), ("width", "<u2"), ("exceptions", "<u2")])
 _FOOT = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("ends", "<u8"), ("keys", "<u8"), ("index", "<u8"), ("magic", "S8")])
 
@@ -103,7 +105,7 @@ class _Writer(DataSourceArrowWriter):
                 yield batch.column("doc_id"), np.frombuffer(raw, dtype="<u4"), np.diff(starts) // 4
             return
         library = kept(("library", self.tokenizer), lambda: Library(self.tokenizer))
-        for part in t.slices(iterator, "text", keeps=("library",)):
+        for part in t.slices(iterator, "text", SLICE_BYTES, keeps=("library",)):
             ids, counts = library.ids(part.column("text"))
             if self.end is not None:
                 ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(self.end)), counts + 1
@@ -242,7 +244,8 @@ class Library:
         model = self.tokenizer.model
 
         def encode(piece: str) -> list[int]:
-            return [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+            plain = piece.isascii() and piece.isalnum()  # such letters stand for themselves
+            return [x.id for x in model.tokenize(piece if plain else piece.encode().decode("latin-1").translate(letters))]
 
         self.encoder = Encoder(layout, encode) if layout.wordwise else None
 
@@ -259,7 +262,7 @@ def write_ids(df: DataFrame, folder: str, path: str, end: int | None, key: str =
     the ids to `folder` in ascending order of the key: nulls first, rows with one key by their text.
 
     A null text counts as an empty one. Rows are dealt by ranges of (key, hash of the text), so neither many rows
-    without a key nor many with the same key meet in one task; a task holds about 4 MB of texts at a time. Files of failed tasks are
+    without a key nor many with the same key meet in one task; a task holds about 8 MB of texts at a time. Files of failed tasks are
     not in the manifest. An empty table gives a folder with an empty manifest.
     """
     df.sparkSession.dataSource.register(TokenIds)

@@ -1,7 +1,9 @@
 """Texts to token ids piece by piece: tokenizers whose pieces never cross white space give a word the same ids everywhere."""
 
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -10,9 +12,9 @@ import pyarrow.compute as pc
 import regex
 
 from listingloom.llm import texts as t
-from listingloom.llm.worker import Memo
+from listingloom.llm.worker import Generations
 
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
+#: Pieces in each of the two generations whose ids a worker remembers.
 REMEMBERED = 300_000
 
 #: Signs in texts that need a whole look: a special token may begin, or lower case or white space depend on more than one
@@ -20,6 +22,7 @@ REMEMBERED = 300_000
 _ODD = ("<|", "Σ", "İ", "\x85", "\u180e")
 #: Signs that end most words that are not of letters alone.
 _STOPS = frozenset(".,;:!?")
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_letters() -> list[str]:
@@ -65,25 +68,37 @@ class Layout:
         return found
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian u4."""
+    if _NATIVE and isinstance(ids, list):
+        return array("I", ids).tobytes()
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """Ids of whole batches of texts, from a function that gives the ids of one piece."""
 
     def __init__(self, layout: Layout, encode: Callable[[str], list[int]]):
         self.layout, self.encode = layout, encode
-        self.pieces = Memo(REMEMBERED)
+        self.pieces = Generations(REMEMBERED)
+
+    def made(self, piece: str) -> bytes:
+        return _four_bytes(self.encode(piece))
 
     def piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
             return np.uint32(piece).tobytes()
         ids = self.pieces.get(piece)
-        return ids if ids is not None else self.pieces.add(piece, np.array(self.encode(piece), dtype="<u4").tobytes())
+        return ids if ids is not None else self.pieces.add(piece, self.made)
 
     def word(self, word: str) -> bytes:
         """The ids of a lower-cased word without white space."""
         if word.isalpha():
             return self.piece(word)
-        if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self.piece(word[:-1]) + self.piece(word[-1])
+        stem = word[:-1]
+        if word[-1:] in _STOPS and stem.isalpha():
+            ids = self.pieces.get(stem)
+            return (self.pieces.add(stem, self.made) if ids is None else ids) + self.piece(word[-1])
         return b"".join(map(self.piece, self.layout.cut.findall(word)))
 
     def odd(self, texts: pa.Array) -> np.ndarray:
@@ -104,10 +119,16 @@ class Encoder:
         words = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(odd), "", texts)))
         first = words.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.values)
-        known, encoded = self.pieces, []
+        known, encoded, last = self.pieces, [], {}
         for word in coded.dictionary.to_pylist():
             ids = known.get(word)
-            encoded.append(self.word(word) if ids is None else ids)
+            if ids is None:
+                stem, stop = word[:-1], word[-1:]
+                if stop in _STOPS and stem.isalpha() and (ids := known.get(stem)) is not None:
+                    ids += last[stop] if stop in last else last.setdefault(stop, self.piece(stop))
+                else:
+                    ids = self.word(word)
+            encoded.append(ids)
         at = coded.indices.to_numpy()[first[0] : first[-1]]
         first -= first[0]
         rare = np.flatnonzero(odd)

@@ -73,3 +73,19 @@ def test_documents_of_the_test_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     out = sorted((tuple(r) for r in queries.op1_token_ids(spark, "/root/testdata/sf0.001").collect()), key=lambda r: r[1])
     assert out == [(k, s, len(i), zlib.crc32(np.array(i, dtype="<u4").tobytes())) for k, s, i in expected(rows, library)]
+
+
+def test_pieces_that_come_again_are_not_forgotten():
+    from listingloom.llm.worker import Generations
+
+    made, memo = [], Generations(10)
+
+    def ids(piece):
+        made.append(piece)
+        return piece.encode()
+
+    for i in range(200):
+        for piece in ("often", f"once{i}"):
+            assert (memo.get(piece) or memo.add(piece, ids)) == piece.encode()
+        assert len(memo) <= 10 and len(memo.older) <= 10
+    assert made.count("often") == 1 and len(made) == 201
