@@ -109,8 +109,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+def _run(spark: SparkSession, sf_dir: str, sql: str, *names: str, **tables: DataFrame) -> DataFrame:
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names}, **tables)
 
 
 def literal(lines):
@@ -138,7 +138,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(_run(spark, sf_dir, QUESTION, "customer", "part", "nation", "region"), "asked")  # else every rule repeats the making of the text
+    # Spread, as millions of narrow rows are one split, and all that reads the questions would be one task.
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+    return written(_run(spark, sf_dir, QUESTION, "part", "nation", "region", customer=customers), "asked")  # else every rule repeats the making of the text
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ class HashedTokens:
 
     def __init__(self, dims: int = 256):
         self.dims = dims
+        self.batch_size = max(fixed.EMBED_BATCH, (1 << 19) // dims)  # a table of 4 MB of counts, so that words are looked up once for many texts
 
     def __call__(self) -> Encoder:
         """What a worker calls once before it encodes its batches."""
@@ -76,8 +77,10 @@ class SentenceEncoder:
         return once_per_worker(f"sentence encoder {self.model}", load).encode
 
 
-def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int = fixed.EMBED_BATCH) -> Column:
-    """Unit-length vectors of text. The encoder is set up once per task and fed batches of bounded rows and text."""
+def embed(text: Column, encoder: Callable[[], Encoder] = HashedTokens(), batch_size: int | None = None) -> Column:
+    """Unit-length vectors of text. The encoder is set up once per task and fed batches of bounded rows and text, by default as many
+    rows as its batch_size says, if it has one."""
+    batch_size = batch_size or getattr(encoder, "batch_size", fixed.EMBED_BATCH)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
